@@ -33,7 +33,7 @@ from siteweave.functions.text import (
 )
 from siteweave.session import cut_lineage
 
-SCORED = ("state", "area", "name", "street", "city", "zip5", "lat", "lng", "naics", "registry_id")
+SCORED = ("state", "area", "name", "street", "city", "zip5", "lat", "lng", "naics", "registry_id", "fresh")
 EPSILON = 1e-6
 SEPARATOR = "\x1f"
 
@@ -46,8 +46,11 @@ class Candidates:
     members: DataFrame
 
 
-def prepared(raw: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """Raw records with the normalised fields that blocking and scoring read."""
+def prepared(raw: DataFrame, config: MatchConfig = MatchConfig(), fresh: bool = True) -> DataFrame:
+    """Raw records with the normalised fields that blocking and scoring read.
+
+    Pairs need at least one ``fresh`` record; an earlier run has seen the others.
+    """
     rows = raw if not config.aggregate_sources else raw.filter(~F.col("source").isin(*config.aggregate_sources))
     zip_area = F.coalesce(zip_prefix(normalize_zip(F.col("raw_zip"))), F.lit("000"))
     lat, lng = leading_number(F.col("raw_latitude")), leading_number(F.col("raw_longitude"))
@@ -65,6 +68,7 @@ def prepared(raw: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
         F.when(placed, lng).alias("lng"),
         blank_to_null(F.col("raw_naics_code")).alias("naics"),
         blank_to_null(F.col("registry_id")).alias("registry_id"),
+        F.lit(fresh).alias("fresh"),
     )
 
 
@@ -120,7 +124,7 @@ def fold_by_fields(rows: DataFrame) -> DataFrame:
 def fold_by_registry(rows: DataFrame, config: MatchConfig) -> DataFrame:
     keys = _registry_keys(config)
     present = rows.dropna(subset=list(keys))
-    return present.groupBy("source", *keys).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    return present.groupBy("source", "fresh", *keys).agg(F.min("id").alias("id"), F.count("*").alias("n"))
 
 
 def _registry_keys(config: MatchConfig) -> tuple[str, ...]:
@@ -245,7 +249,7 @@ def scored_pairs(folds: DataFrame, config: MatchConfig = MatchConfig()) -> DataF
 
     geo_score = F.coalesce(geo.proximity_score(a("lat"), a("lng"), b("lat"), b("lng")), F.lit(0))
     naics = scoring.naics_score(a("naics"), b("naics"))
-    apart = (a("id") < b("id")) & (a("source") != b("source")) & ~same("registry_id")
+    apart = (a("id") < b("id")) & (a("source") != b("source")) & ~same("registry_id") & (a("fresh") | b("fresh"))
     # Each pair belongs to one kind of key: near pairs to the grid, others to the first key they share.
     kind = F.col("kind")
     own_kind = F.when(kind == "cell", geo_score > 0).otherwise(
@@ -297,10 +301,10 @@ def registry_pairs(rows: DataFrame, config: MatchConfig = MatchConfig()) -> Data
     """
     keys = list(_registry_keys(config))
     folds = fold_by_registry(rows, config)
-    by_source = [F.col("id"), F.col("source"), F.col("n")]
-    a = folds.select(*keys, *[c.alias(f"a_{n}") for c, n in zip(by_source, ("id", "source", "n"))])
-    b = folds.select(*keys, *[c.alias(f"b_{n}") for c, n in zip(by_source, ("id", "source", "n"))])
-    pairs = a.join(b, keys).filter("a_id < b_id and a_source <> b_source")
+    shown = ("id", "source", "n", "fresh")
+    a = folds.select(*keys, *[F.col(c).alias(f"a_{c}") for c in shown])
+    b = folds.select(*keys, *[F.col(c).alias(f"b_{c}") for c in shown])
+    pairs = a.join(b, keys).filter("a_id < b_id and a_source <> b_source and (a_fresh or b_fresh)")
     full = F.lit(100)
     state = F.col("state") if "state" in keys else F.lit(None).cast("string")
     return pairs.select(
@@ -327,13 +331,19 @@ def _without_large_blocks(rows: DataFrame, config: MatchConfig, *keys: str) -> D
     return rows.join(small, list(keys), "left_semi")
 
 
-def match(raw: DataFrame, config: MatchConfig = MatchConfig()) -> Candidates:
+def match(raw: DataFrame, config: MatchConfig = MatchConfig(), earlier: DataFrame | None = None) -> Candidates:
     """Candidate pairs of ``raw`` and the records behind every fold.
 
     The normalised records, the folds and the pairs are tables, written once: the
     source is read in one pass, and the join runs over the compact fold table.
+
+    With ``earlier`` records, ``raw`` is compared with itself and with them; they are
+    not compared with each other again.
     """
-    rows = cut_lineage(prepared(raw, config))
+    rows = prepared(raw, config)
+    if earlier is not None:
+        rows = rows.unionByName(_reachable(prepared(earlier, config, fresh=False), rows, config))
+    rows = cut_lineage(rows)
     by_field, by_registry = rows, rows
     if config.skip_large_blocks:
         by_field = _without_large_blocks(rows, config, "state", "area")
@@ -344,6 +354,14 @@ def match(raw: DataFrame, config: MatchConfig = MatchConfig()) -> Candidates:
     return Candidates(pairs, fold_members(by_field, by_registry, config))
 
 
+def _reachable(known: DataFrame, fresh: DataFrame, config: MatchConfig) -> DataFrame:
+    """Earlier records that share an area or a registry id with a fresh one."""
+    by_area = known.join(fresh.select("state", "area").distinct(), ["state", "area"], "left_semi")
+    keys = list(_registry_keys(config))
+    by_registry = known.join(fresh.select(*keys).distinct(), keys, "left_semi")
+    return by_area.unionByName(by_registry).dropDuplicates(["id"])
+
+
 def fold_members(by_field: DataFrame, by_registry: DataFrame, config: MatchConfig) -> DataFrame:
     """(match_type, fold_id, record_id): the records each fold stands for, itself included."""
     keys = list(_registry_keys(config))
@@ -355,7 +373,7 @@ def fold_members(by_field: DataFrame, by_registry: DataFrame, config: MatchConfi
         .select(F.lit("geo_name").alias("match_type"), "fold_id", F.col("r.id").alias("record_id"))
     )
     registry_folds = fold_by_registry(by_registry, config).filter("n > 1").withColumnRenamed("id", "fold_id")
-    registry = by_registry.join(registry_folds, ["source", *keys]).select(
+    registry = by_registry.join(registry_folds, ["source", "fresh", *keys]).select(
         F.lit("frs_id").alias("match_type"), "fold_id", F.col("id").alias("record_id")
     )
     return fields.unionByName(registry)
