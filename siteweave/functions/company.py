@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteweave import constants as K
-from siteweave.functions.text import blank_to_null, collapse_spaces, starts, strip
+from siteweave.functions.text import blank_to_null, collapse_spaces, one_of, starts, strip
 
 MAX_RULES = 5000
 
@@ -47,9 +47,13 @@ def rules_from_table(table: DataFrame, max_rules: int = MAX_RULES) -> tuple[Comp
 
 
 def is_blocked(c: Column) -> Column:
-    text = strip(c)
+    return _is_blocked_text(strip(c))
+
+
+def _is_blocked_text(text: Column) -> Column:
+    """Test of a text without blanks around it."""
     return F.coalesce(
-        (F.length(text) <= 1) | F.lower(text).isin(*K.BLOCKED_NAMES) | text.rlike(r"^[\d\s.,-]+$"),
+        (F.length(text) <= 1) | one_of(F.lower(text), K.BLOCKED_NAMES) | text.rlike(r"^[\d\s.,-]+$"),
         F.lit(True),
     )
 
@@ -68,23 +72,27 @@ def title_case(c: Column) -> Column:
     return F.array_join(
         F.transform(
             F.split(F.lower(c), " ", -1),
-            lambda word, i: F.when(F.upper(word).isin(*K.TITLE_UPPER_WORDS), F.upper(word))
-            .when((i > 0) & word.isin(*K.TITLE_LOWER_WORDS), word)
+            lambda word, i: F.when(one_of(F.upper(word), K.TITLE_UPPER_WORDS), F.upper(word))
+            .when((i > 0) & one_of(word, K.TITLE_LOWER_WORDS), word)
             .otherwise(F.concat(F.upper(starts(word, 1)), F.substring(word, 2, 1 << 30))),
         ),
         " ",
     )
 
 
-def clean_company(c: Column) -> Column:
+def _without_suffix(c: Column) -> Column:
     text = F.regexp_replace(blank_to_null(c), f"(?i){K.TRAILING_SUFFIX_PATTERN}", "")
-    text = strip(collapse_spaces(F.regexp_replace(text, r"(?i)^THE\s+", "")))
-    return F.when(~is_blocked(text), title_case(text))
+    return strip(collapse_spaces(F.regexp_replace(text, r"(?i)^THE\s+", "")))
+
+
+def clean_company(c: Column) -> Column:
+    text = _without_suffix(c)
+    return F.when(~_is_blocked_text(text), title_case(text))
 
 
 def normalize_company(c: Column, rules: Rules) -> Column:
     text = strip(c)
-    return F.when(~is_blocked(text), F.coalesce(rule_company(text, rules), clean_company(text)))
+    return F.when(~_is_blocked_text(text), F.coalesce(rule_company(text, rules), clean_company(text)))
 
 
 def has_corporate_form(c: Column) -> Column:
@@ -139,22 +147,29 @@ def _candidates(name: Column) -> list[Column]:
 
 
 def _evaluated(name: Column, rules: Rules) -> Column:
-    """array of (text, rule, cleaned, company) for every slot; rules run once per text."""
+    """array of (text, rule, cleaned, company) for every slot; each step reads the one before."""
     read = F.transform(
         F.array(*_candidates(name)),
         lambda text: F.struct(
-            text.alias("text"),
-            rule_company(text, rules).alias("rule"),
-            clean_company(text).alias("cleaned"),
+            text.alias("text"), rule_company(text, rules).alias("rule"), _without_suffix(text).alias("bare")
         ),
     )
-    return F.transform(
+    cleaned = F.transform(
         read,
+        lambda s: F.struct(
+            s["text"].alias("text"),
+            s["rule"].alias("rule"),
+            F.when(~_is_blocked_text(s["bare"]), title_case(s["bare"])).alias("cleaned"),
+        ),
+    )
+    # Every slot but the whole name is a text without blanks around it.
+    return F.transform(
+        cleaned,
         lambda s: F.struct(
             s["text"].alias("text"),
             s["rule"].alias("rule"),
             s["cleaned"].alias("cleaned"),
-            F.when(~is_blocked(s["text"]), F.coalesce(s["rule"], s["cleaned"])).alias("company"),
+            F.when(~_is_blocked_text(s["text"]), F.coalesce(s["rule"], s["cleaned"])).alias("company"),
         ),
     )
 

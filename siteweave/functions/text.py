@@ -13,8 +13,18 @@ from siteweave import constants as K
 SPACE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def text_map(pairs: Iterable[tuple[str, str]]) -> Column:
-    return F.create_map(*[F.lit(part) for pair in pairs for part in pair])
+    """Literal map, built in one call: long lists of literals are slow to hand over one by one."""
+    return F.expr("map(" + ", ".join(_sql_text(part) for pair in pairs for part in pair) + ")")
+
+
+def one_of(c: Column, values: Iterable[str]) -> Column:
+    """Membership in a fixed list of texts."""
+    return F.array_contains(F.expr("array(" + ", ".join(_sql_text(v) for v in values) + ")"), c)
 
 
 def lookup(pairs: Iterable[tuple[str, str]], key: Column) -> Column:
