@@ -97,7 +97,7 @@ NAMES = """
 with p as (select p_partkey as k, upper(p_name) as nm, upper(p_brand) as br, upper(p_type) as ty from {part})
 select k as name_id,
   case cast(k % 24 as int)
-    when 0 then nm || ' - ' || br || ' G3516'
+    when 0 then nm || case when k % 48 = 0 then ' - CATERPILLAR ' else ' - ' end || br || ' G3516'
     when 1 then nm || ' INC - ' || ty || ' SITE'
     when 2 then nm || ' / ' || br
     when 3 then nm || ', ' || ty || ' INC'

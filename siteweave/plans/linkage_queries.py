@@ -238,7 +238,7 @@ final as (select u.unit, u.name, u.city, u.state, u.epa_registry_id,
   from (select keeper, max(source_count) as n, max(confidence) as c from links join unit using (unit) group by keeper) g
   join unit u on u.unit = g.keeper left join recount rc on rc.keeper = g.keeper)"""
 
-_FIELDS = "array_to_string(list_filter([" + ", ".join(
+FIELDS_SQL = "array_to_string(list_filter([" + ", ".join(
     f"case when {c} is not null and cast({c} as varchar) not in ('', '0') then '{label}' end"
     for c, label in (
         ("raw_name", "name"), ("raw_address", "address"), ("raw_city", "city"), ("raw_state", "state"),
@@ -299,7 +299,7 @@ QUERIES = {
     "lineage_edges": (
         lineage_edges,
         f"""{_MERGE} select min(raw_record_id) over (partition by keeper) as first_record, raw_record_id, source,
-        source_record_id, {_FIELDS} as fields from edges_out"""),
+        source_record_id, {FIELDS_SQL} as fields from edges_out"""),
     "candidate_tags": (
         candidate_tags, f"with {_CANDIDATES} select status, true as tagged, count(*) as pairs from candidates group by 1"),
     "merge_again": (
