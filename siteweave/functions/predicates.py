@@ -11,8 +11,23 @@ from pyspark.sql import functions as F
 from siteweave import constants as K
 from siteweave.functions.text import strip
 
-# One search with all patterns. Those written for exact case hold no letters, so one flag fits all.
-STUB_REGEX = "(?i)" + "|".join(f"(?:{p})" for p in K.STUB_PATTERNS)
+
+def _grouped(patterns: tuple[str, ...]) -> str:
+    """All patterns as one search, sorted by how they begin.
+
+    Those bound to the start of the text or to the start of a word share that test, so
+    most positions of a text are rejected by it alone. Patterns written for exact case
+    hold no letters, so one flag fits all.
+    """
+    heads: dict[str, list[str]] = {"^": [], r"\b": [], "": []}
+    for p in patterns:
+        head = next(h for h in heads if p.startswith(h))
+        heads[head].append(p.removeprefix(head))
+    groups = [f"{head}(?:{'|'.join(f'(?:{p})' for p in tails)})" for head, tails in heads.items() if tails]
+    return "(?i)" + "|".join(groups)
+
+
+STUB_REGEX = _grouped(K.STUB_PATTERNS)
 
 
 def is_address_stub(name: Column) -> Column:

@@ -31,13 +31,17 @@ def lookup(pairs: Iterable[tuple[str, str]], key: Column) -> Column:
     """Literal map lookup, null when the key is null or not listed."""
     return F.when(key.isNotNull(), F.try_element_at(text_map(pairs), key))
 
+SPACE_CHARS = "\t\n\v\f\r " + "".join(
+    chr(c) for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
+)
+
 
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(SPACE_CHARS))
 
 
 def collapse_spaces(c: Column) -> Column:

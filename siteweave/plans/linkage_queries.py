@@ -26,7 +26,7 @@ RULES = (
 
 PAIR_COLUMNS = (
     "record_a", "record_b", "source_a", "source_b", "state", "name_score", "geo_score", "address_score",
-    "naics_score", "confidence_score", "match_type", "status",
+    "naics_score", "confidence_score", "match_type", "status", "pair_count",
 )
 
 
@@ -40,7 +40,12 @@ def linkable(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def match_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return linkage.expand(linkage.match(linkable(spark, sf))).select(*PAIR_COLUMNS)
+    return linkage.match(linkable(spark, sf)).pairs.select(*PAIR_COLUMNS)
+
+
+def match_all_inspections(spark: SparkSession, sf: str) -> DataFrame:
+    """All raw records, repeated inspections included: equal ones are folded and counted."""
+    return linkage.match(X.derive(spark, sf, X.RAW_RECORDS)).pairs.select(*PAIR_COLUMNS)
 
 
 def match_class_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -250,6 +255,9 @@ FIELDS_SQL = "array_to_string(list_filter([" + ", ".join(
 QUERIES = {
     "match_candidates": (
         match_candidates, f"with {_CANDIDATES} select {', '.join(PAIR_COLUMNS)} from candidates"),
+    "match_all_inspections": (
+        match_all_inspections,
+        f"with {O.candidates_cte('raw_records')} select {', '.join(PAIR_COLUMNS)} from candidates"),
     "match_class_counts": (
         match_class_counts,
         f"""with {_CANDIDATES} select (select count(*) from scored) as compared,

@@ -165,16 +165,18 @@ def linkable_cte() -> str:
     from raw_records where source = 'osha') where rn = 1)"""
 
 
-def prepared_cte() -> str:
-    return f"""{linkable_cte()}, prepared as (
+def prepared_cte(rows: str = "linkable") -> str:
+    return f"""{linkable_cte()}, fields as (
   select id, source, raw_state as state, coalesce(left({zip5('raw_zip')}, 3), '000') as area,
     {strip('upper(raw_name)')} as name, {address('raw_address')} as street, {city('raw_city')} as city,
     left({strip('raw_zip')}, 5) as zip5, try_cast(raw_latitude as double) as lat, try_cast(raw_longitude as double) as lng,
-    raw_naics_code as naics, registry_id from linkable)"""
+    raw_naics_code as naics, registry_id from {rows}),
+prepared as (select *, min(id) over (partition by source, state, area, name, street, city, zip5, lat, lng, naics, registry_id) as fold,
+  min(id) over (partition by source, state, registry_id) as registry_fold from fields)"""
 
 
-def candidates_cte() -> str:
-    """Every cross-source pair of every block, scored one by one."""
+def candidates_cte(rows: str = "linkable") -> str:
+    """Every cross-source pair of every block, scored one by one; equal records then count as one."""
     naics = (
         "case when a.naics = b.naics then 100 when left(a.naics, 4) = left(b.naics, 4) then 70 "
         "when left(a.naics, 3) = left(b.naics, 3) then 50 when left(a.naics, 2) = left(b.naics, 2) then 30 else 0 end"
@@ -184,8 +186,9 @@ def candidates_cte() -> str:
         f"cast(floor(({similarity('a.street', 'b.street')}) * 0.3::double + 0.5::double) as int) else 0 end"
     )
     zips = "case when a.zip5 = b.zip5 then 30 when left(a.zip5, 3) = left(b.zip5, 3) then 15 else 0 end"
-    return f"""{prepared_cte()}, pairs as (
-  select a.id as record_a, b.id as record_b, a.source as source_a, b.source as source_b, a.state,
+    return f"""{prepared_cte(rows)}, pairs as (
+  select a.id as a_id, b.id as b_id, a.source as a_source, b.source as b_source, a.state, a.fold as a_fold, b.fold as b_fold,
+    a.registry_fold as a_reg, b.registry_fold as b_reg,
     {similarity('a.name', 'b.name')} as name_score, {proximity('a.lat', 'a.lng', 'b.lat', 'b.lng')} as geo_score,
     least(100, {street} + case when a.city = b.city then 30 else 0 end + {zips}) as address_score, {naics} as naics_score,
     coalesce(a.registry_id = b.registry_id, false) as registered
@@ -193,12 +196,16 @@ def candidates_cte() -> str:
     and (a.area = b.area or a.registry_id = b.registry_id)),
 scored as (select *, cast(floor(name_score * 0.35::double + geo_score * 0.30::double + address_score * 0.20::double
     + naics_score * 0.15::double + 0.5::double) as int) as composite from pairs),
-candidates as (
-  select record_a, record_b, source_a, source_b, state,
+matched as (
+  select case when registered then a_reg else a_fold end as fa, case when registered then b_reg else b_fold end as fb, a_source, b_source, state,
     case when registered then 100 else name_score end as name_score, case when registered then 100 else geo_score end as geo_score,
     case when registered then 100 else address_score end as address_score,
     case when registered then 100 else naics_score end as naics_score,
     case when registered then 99 else composite end as confidence_score,
     case when registered then 'frs_id' else 'geo_name' end as match_type,
     case when registered or composite >= 90 then 'auto_matched' else 'pending' end as status
-  from scored where registered or composite >= 60)"""
+  from scored where registered or composite >= 60),
+candidates as (
+  select least(fa, fb) as record_a, greatest(fa, fb) as record_b, case when fa < fb then a_source else b_source end as source_a,
+    case when fa < fb then b_source else a_source end as source_b, state, name_score, geo_score, address_score, naics_score,
+    confidence_score, match_type, status, count(*) as pair_count from matched group by all)"""

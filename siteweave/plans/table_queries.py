@@ -128,9 +128,9 @@ def fsis_scan(s: SparkSession, d: str) -> DataFrame:
 
 
 def tickers(s: SparkSession, d: str) -> DataFrame:
-    """One listing page per supplier nation, in the array-of-arrays layout."""
+    """Listing pages of two hundred rows, in the array-of-arrays layout."""
     rows = X.table(s, d, "part").select(
-        (F.col("p_partkey") % 100).alias("page"),
+        F.floor(F.col("p_partkey") / 200).alias("page"),
         F.array(
             F.col("p_partkey").cast("string"),
             F.concat(F.col("p_brand"), F.element_at(F.expr("array(' Inc', ', CORP.', ' Holdings', '')"), (F.col("p_partkey") % 4 + 1).cast("int"))),
@@ -499,15 +499,13 @@ QUERIES = {
         """select cast(p_partkey as varchar) as id, lpad(cast(p_partkey % 400 as varchar), 4, '0') as raw_sic_code,
         cast(311000 + s_suppkey as varchar) as raw_naics_code from part left join (select * from supplier where s_suppkey % 10 <> 0) on s_suppkey = p_partkey % 400"""),
     "naics_hierarchy": (
-        lambda s, d: F.broadcast(SC.naics_codes(s)).join(
-            fac(s, d).select(F.explode(F.array(*[T.starts(F.col("primary_naics"), n) for n in (2, 3, 4)])).alias("code")), "code", "left_semi"
-        ).select("code", "title", "level", "parent_code"),
+        lambda s, d: fac(s, d).select(F.explode(F.array(*[T.starts(F.col("primary_naics"), n) for n in (2, 3, 4)])).alias("code")).groupBy(
+            "code").agg(F.count("*").alias("facilities")).join(F.broadcast(SC.naics_codes(s)), "code"),
         f"""with {FAC}, c(code, title, level, parent_code) as (values {', '.join(
             [f"('{c}', 'Manufacturing ({c})', 2, null)" for c in K.SECTOR_CODES]
             + [f"('{c}', {O.quote(t)}, 3, '{c[:2]}')" for c, t in K.SUBSECTORS]
             + [f"('{c}', {O.quote(t)}, 4, '{c[:3]}')" for c, t in K.INDUSTRY_GROUPS])})
-        select * from c where code in (select left(primary_naics, 2) from facilities) or code in (select left(primary_naics, 3) from facilities)
-        or code in (select left(primary_naics, 4) from facilities)"""),
+        select c.*, count(*) as facilities from c join facilities f on starts_with(f.primary_naics, c.code) group by all"""),
     # normalisation
     "address_norm": (
         lambda s, d: raw(s, d).select(
