@@ -33,9 +33,12 @@ from siteweave.functions.text import (
 )
 from siteweave.session import cut_lineage
 
+AREA = ("state", "area")
 SCORED = ("state", "area", "name", "street", "city", "zip5", "lat", "lng", "naics", "registry_id", "fresh")
 EPSILON = 1e-6
 SEPARATOR = "\x1f"
+# Beyond this many parts per side more copies buy no more parallel work.
+MAX_GRID = 64
 
 
 @dataclass(frozen=True)
@@ -121,8 +124,7 @@ def fold_by_fields(rows: DataFrame) -> DataFrame:
     return present.groupBy("source", *SCORED).agg(F.min("id").alias("id"), F.count("*").alias("n"))
 
 
-def fold_by_registry(rows: DataFrame, config: MatchConfig) -> DataFrame:
-    keys = _registry_keys(config)
+def fold_by_registry(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     present = rows.dropna(subset=list(keys))
     return present.groupBy("source", "fresh", *keys).agg(F.min("id").alias("id"), F.count("*").alias("n"))
 
@@ -210,7 +212,8 @@ def _split_large(left: DataFrame, right: DataFrame, config: MatchConfig) -> tupl
     size, so copies stay few while no task holds a whole large key.
     """
     sizes = right.groupBy(*JOIN_KEYS).agg(F.count("*").alias("_size")).filter(F.col("_size") > config.max_block)
-    sizes = sizes.withColumn("_grid", F.ceil(F.sqrt(F.col("_size") / config.max_block)).cast("int")).drop("_size")
+    parts = F.ceil(F.sqrt(F.col("_size") / config.max_block))
+    sizes = sizes.withColumn("_grid", F.least(parts, F.lit(MAX_GRID)).cast("int")).drop("_size")
 
     def placed(rows: DataFrame, own: str, copied: str, seed: int) -> DataFrame:
         known = rows.join(sizes, list(JOIN_KEYS), "left").withColumn("_grid", F.coalesce("_grid", F.lit(1)))
@@ -294,13 +297,15 @@ def scored_pairs(folds: DataFrame, config: MatchConfig = MatchConfig()) -> DataF
     )
 
 
-def registry_pairs(rows: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
+def registry_pairs(
+    rows: DataFrame, config: MatchConfig = MatchConfig(), within: tuple[str, ...] | None = None
+) -> DataFrame:
     """Records of different sources under one registry id: a fixed score, no comparison.
 
     One row per pair of sources, however many records share the id.
     """
-    keys = list(_registry_keys(config))
-    folds = fold_by_registry(rows, config)
+    keys = list(within or _registry_keys(config))
+    folds = fold_by_registry(rows, tuple(keys))
     shown = ("id", "source", "n", "fresh")
     a = folds.select(*keys, *[F.col(c).alias(f"a_{c}") for c in shown])
     b = folds.select(*keys, *[F.col(c).alias(f"b_{c}") for c in shown])
@@ -325,10 +330,12 @@ def registry_pairs(rows: DataFrame, config: MatchConfig = MatchConfig()) -> Data
     )
 
 
-def _without_large_blocks(rows: DataFrame, config: MatchConfig, *keys: str) -> DataFrame:
-    sizes = rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("_size"))
-    small = sizes.filter(F.col("_size") <= config.max_block).drop("_size")
-    return rows.join(small, list(keys), "left_semi")
+def _by_block_size(rows: DataFrame, config: MatchConfig, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Rows of blocks up to ``max_block`` and rows of larger ones."""
+    present = rows.dropna(subset=list(keys))
+    sizes = present.groupBy(*keys).agg(F.count("*").alias("_size"))
+    large = sizes.filter(F.col("_size") > config.max_block).drop("_size")
+    return present.join(large, list(keys), "left_anti"), present.join(large, list(keys), "left_semi")
 
 
 def match(raw: DataFrame, config: MatchConfig = MatchConfig(), earlier: DataFrame | None = None) -> Candidates:
@@ -344,14 +351,24 @@ def match(raw: DataFrame, config: MatchConfig = MatchConfig(), earlier: DataFram
     if earlier is not None:
         rows = rows.unionByName(_reachable(prepared(earlier, config, fresh=False), rows, config))
     rows = cut_lineage(rows)
-    by_field, by_registry = rows, rows
+    registry = _registry_keys(config)
+    # rows that meet by registry id, and the keys inside which they do
+    by_field, by_registry = rows, [(rows, registry)]
     if config.skip_large_blocks:
-        by_field = _without_large_blocks(rows, config, "state", "area")
-        by_registry = _without_large_blocks(rows, config, *_registry_keys(config))
+        by_field, _ = _by_block_size(rows, config, AREA)
+        small, large = _by_block_size(rows, config, registry)
+        # A registry block above the limit still meets inside small areas.
+        in_small_area, _ = _by_block_size(rows, config, AREA)
+        rest = large.join(in_small_area.select("id"), "id", "left_semi")
+        by_registry = [(small, registry), (rest, (*AREA, "registry_id"))]
     folds = cut_lineage(fold_by_fields(by_field))
-    pairs = scored_pairs(folds, config).unionByName(registry_pairs(by_registry, config))
+    pairs = scored_pairs(folds, config)
+    members = _field_members(by_field)
+    for part, keys in by_registry:
+        pairs = pairs.unionByName(registry_pairs(part, config, keys))
+        members = members.unionByName(_registry_members(part, keys))
     pairs = cut_lineage(pairs.withColumn("pair_count", F.col("n_a") * F.col("n_b")))
-    return Candidates(pairs, fold_members(by_field, by_registry, config))
+    return Candidates(pairs, members)
 
 
 def _reachable(known: DataFrame, fresh: DataFrame, config: MatchConfig) -> DataFrame:
@@ -362,21 +379,18 @@ def _reachable(known: DataFrame, fresh: DataFrame, config: MatchConfig) -> DataF
     return by_area.unionByName(by_registry).dropDuplicates(["id"])
 
 
-def fold_members(by_field: DataFrame, by_registry: DataFrame, config: MatchConfig) -> DataFrame:
-    """(match_type, fold_id, record_id): the records each fold stands for, itself included."""
-    keys = list(_registry_keys(config))
-    field_folds = fold_by_fields(by_field).filter("n > 1").withColumnRenamed("id", "fold_id")
+def _field_members(rows: DataFrame) -> DataFrame:
+    """(match_type, fold_id, record_id): the records that each fold of several stands for, itself included."""
+    folds = fold_by_fields(rows).filter("n > 1").withColumnRenamed("id", "fold_id")
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("source", *SCORED)]
-    fields = (
-        by_field.alias("r")
-        .join(field_folds.alias("f"), reduce(and_, same))
-        .select(F.lit("geo_name").alias("match_type"), "fold_id", F.col("r.id").alias("record_id"))
-    )
-    registry_folds = fold_by_registry(by_registry, config).filter("n > 1").withColumnRenamed("id", "fold_id")
-    registry = by_registry.join(registry_folds, ["source", "fresh", *keys]).select(
-        F.lit("frs_id").alias("match_type"), "fold_id", F.col("id").alias("record_id")
-    )
-    return fields.unionByName(registry)
+    joined = rows.alias("r").join(folds.alias("f"), reduce(and_, same))
+    return joined.select(F.lit("geo_name").alias("match_type"), "fold_id", F.col("r.id").alias("record_id"))
+
+
+def _registry_members(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    folds = fold_by_registry(rows, keys).filter("n > 1").withColumnRenamed("id", "fold_id")
+    joined = rows.join(folds, ["source", "fresh", *keys])
+    return joined.select(F.lit("frs_id").alias("match_type"), "fold_id", F.col("id").alias("record_id"))
 
 
 def expand(candidates: Candidates) -> DataFrame:

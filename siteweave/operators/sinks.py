@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from siteweave.functions.text import blank_to_null, leading_int, text_array
@@ -142,6 +142,13 @@ def run_ledger(spark: SparkSession, run_id: str, source: str, status: str, count
     ).withColumn("completed_at", F.current_timestamp())
 
 
+def counted(df: DataFrame, **conditions: Column) -> tuple[DataFrame, Observation]:
+    """The rows unchanged, and counters that fill while another action reads them."""
+    seen = Observation()
+    counters = [F.count_if(condition).alias(name) for name, condition in conditions.items()]
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *counters), seen
+
+
 # --- manual edits ----------------------------------------------------------------------------
 
 # Editable golden column and the raw column that records it.

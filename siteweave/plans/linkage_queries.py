@@ -95,13 +95,13 @@ def connected_components(spark: SparkSession, sf: str) -> DataFrame:
     return components.connected_components(linkage.link_edges(found))
 
 
-def order_components(spark: SparkSession, sf: str) -> DataFrame:
-    """A graph with long chains: parts of one supplier in order of their orders."""
-    lines = X.table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    edges = lines.filter("l_partkey % 11 = l_suppkey % 11 and l_suppkey % 3 = 0").select(
-        F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")
-    )
-    return components.connected_components(edges)
+def hub_components(spark: SparkSession, sf: str) -> DataFrame:
+    """A graph with heavy hubs: orders hang on their customer, customers on their nation."""
+    customers = X.table(spark, sf, "customer").select(
+        F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"))
+    orders = X.table(spark, sf, "orders").select(
+        F.concat(F.lit("o"), "o_orderkey").alias("src"), F.concat(F.lit("c"), "o_custkey").alias("dst"))
+    return components.connected_components(customers.unionByName(orders))
 
 
 def _clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -292,13 +292,11 @@ QUERIES = {
     "incremental_match": (
         incremental_match, f"with {_CANDIDATES} select record_a, record_b, confidence_score, status from candidates"),
     "connected_components": (connected_components, f"with recursive {_COMPONENTS} select id, component from components"),
-    "order_components": (
-        order_components,
-        """with recursive lines as (select distinct l_partkey, l_suppkey from lineitem
-        where l_partkey % 11 = l_suppkey % 11 and l_suppkey % 3 = 0),
-        edges as (select 'p' || l_partkey as s, 's' || l_suppkey as d from lines union select 's' || l_suppkey, 'p' || l_partkey from lines),
-        reach as (select s as id, s as other from edges union select r.id, e.d from reach r join edges e on e.s = r.other)
-        select id, min(other) as component from reach group by id"""),
+    "hub_components": (
+        hub_components,
+        """with c as (select 'c' || c_custkey as id, c_nationkey as n from customer), first as (select n, min(id) as component from c group by 1)
+        select id, component from c join first using (n) union all select 'n' || n, component from first union all
+        select 'o' || o_orderkey, component from orders join c on c.id = 'c' || o_custkey join first using (n)"""),
     "field_survivorship": (
         field_survivorship, f"{_SURVIVORSHIP} select {', '.join(GOLDEN_COLUMNS)}, sources from golden"),
     "golden_facilities": (

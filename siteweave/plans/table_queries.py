@@ -69,7 +69,7 @@ select s_suppkey - s_suppkey % 2 as Mfr_ID, case when s_suppkey % 7 = 0 then ''
   case when s_nationkey % 4 = 0 then 'CANADA' when s_nationkey % 4 = 1 then 'United States (USA)' else '' end as Country,
   case when s_nationkey % 3 = 0 then 'Michigan' when s_nationkey % 3 = 1 then 'oh' else 'Ontario' end as StateProvince,
   'Detroit' as City, '48201' as PostalCode, cast(s_suppkey as string) || ' Motor Way' as Address,
-  case when s_suppkey % 2 = 0 then 'Dock 4' else '' end as Address2, s_suppkey as seq
+  case when s_suppkey % 2 = 0 then 'Dock 4' else '' end as Address2, s_suppkey as seq, s_acctbal
 from {supplier}"""
 
 # Vehicle types by row, as a text so that both engines start from the same value.
@@ -111,9 +111,9 @@ def nhtsa_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def nhtsa_scan(s: SparkSession, d: str) -> DataFrame:
-    """The list, with detail rows for part of the makers in another city."""
+    """The list, with detail rows for the makers in good standing, in another city."""
     rows = nhtsa_rows(s, d)
-    details = rows.filter("Mfr_ID % 5 = 0").withColumn("City", F.lit("Lansing"))
+    details = rows.filter("s_acctbal > 3000").withColumn("City", F.lit("Lansing"))
     out = SF.nhtsa_records(rows, details)
     return out.select(
         "source_record_id", "raw_name", "raw_address", "raw_city", "raw_state", "raw_zip", "raw_naics_code",
@@ -242,7 +242,7 @@ select company_name, count(*) as facilities, count(coalesce(company_id, company_
 
 
 def edits(s: SparkSession, d: str) -> DataFrame:
-    rows = X.table(s, d, "part").filter("p_partkey % 7 = 3")
+    rows = X.table(s, d, "part")
     kept = F.map_from_arrays(
         F.expr("array('name', 'zip', 'employee_count', 'city')"),
         F.array(
@@ -258,7 +258,7 @@ def edits(s: SparkSession, d: str) -> DataFrame:
 
 
 _EDITED = f"""{FAC}, e as (select 'f' || lpad(cast(p_partkey as varchar), 8, '0') as id, 'e' || p_partkey as edit_id,
-  upper(p_name) || case when p_partkey % 2 = 0 then ' PLANT' else ' MILL' end as new_name from part where p_partkey % 7 = 3)"""
+  upper(p_name) || case when p_partkey % 2 = 0 then ' PLANT' else ' MILL' end as new_name from part)"""
 
 
 def decisions(s: SparkSession, d: str) -> DataFrame:
@@ -425,7 +425,7 @@ QUERIES = {
         nhtsa_scan,
         f"""with r as (select *, {NHTSA_TYPES} as types from ({X.for_oracle(NHTSA)})), k as (select * from r where upper(Country) <> 'CANADA'
         and (Mfr_Name <> '' or Mfr_CommonName <> '')), dt as (select * from (select *, row_number() over (partition by Mfr_ID order by seq) as rn
-          from r where Mfr_ID % 5 = 0) where rn = 1),
+          from r where s_acctbal > 3000) where rn = 1),
         u as (select k.Mfr_ID, k.seq, coalesce(d.Mfr_Name, k.Mfr_Name) as mn, coalesce(d.Mfr_CommonName, k.Mfr_CommonName) as cn,
           coalesce(d.Country, k.Country) as ct, coalesce(d.StateProvince, k.StateProvince) as sp, case when d.Mfr_ID is null then k.City else 'Lansing' end as city,
           coalesce(d.PostalCode, k.PostalCode) as zip, coalesce(d.Address, k.Address) as a1, coalesce(d.Address2, k.Address2) as a2,

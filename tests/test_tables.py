@@ -133,6 +133,12 @@ def test_append_and_ledger(spark, tmp_path):
     assert (row.error_count, len(row.errors), row.duration_ms, row.counts) == (150, 100, 1500, {"parsed": 3})
 
 
+def test_counters_fill_during_the_write(spark, tmp_path):
+    rows, seen = sinks.counted(X.derive(spark, SF, X.FACILITIES), linked=F.col("company_id").isNotNull())
+    rows.write.parquet(str(tmp_path / "out"))
+    assert seen.get == {"rows": 200, "linked": 167}
+
+
 def landing(spark, folder, parts=3):
     raw = linkable(spark, SF)
     for i in range(parts):
