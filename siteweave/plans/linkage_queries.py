@@ -170,18 +170,25 @@ def full_run(spark: SparkSession, sf: str) -> DataFrame:
     raw = X.derive(spark, sf, X.RAW_RECORDS)
     done = jobs.enrich(jobs.run_sources([linkable(spark, sf), raw.filter("source = 'manual'")]))
     return done.facilities.select(
-        "name", "company_name", "city", "state", "epa_registry_id", "source_count", "employee_count", "confidence"
+        "name", "company_name", "city", "state", "epa_registry_id", "source_count",
+        F.col("employee_count").cast("string").alias("employee_count"), "confidence",
     )
 
 
 _CANDIDATES = O.candidates_cte()
-_COMPONENTS = f"""{_CANDIDATES}, edges as (
+
+
+def _components_sql(rows: str = "linkable") -> str:
+    return f"""{O.candidates_cte(rows)}, edges as (
   select record_a as s, record_b as d from candidates where status = 'auto_matched'
   union select record_b, record_a from candidates where status = 'auto_matched'),
 reach as (select s as id, s as other from edges union select r.id, e.d from reach r join edges e on e.s = r.other),
 components as (select id, min(other) as component from reach group by id)"""
 
 
+_COMPONENTS = _components_sql()
+
+
 def _best(raw: str, field: str, out: str) -> str:
     rank = "case source " + " ".join(f"when '{s}' then {i}" for i, s in enumerate(K.FIELD_PRIORITY[field])) + " else 999 end"
     return f"(array_agg({raw} order by {rank}, id) filter (where nullif({raw}, '') is not null))[1] as {out}"
@@ -213,8 +220,9 @@ _SURVIVORSHIP = f"""with recursive {_COMPONENTS}, unit_rows as (
 
 # Clusters first, one golden row per natural key; then single records, which join a golden row by
 # registry id, else by name, city and state, or open one per natural key.
-_MERGE = f"""with recursive {_COMPONENTS}, unit_rows as (
-  select coalesce(component, id) as unit, component is not null as clustered, l.* from linkable l left join components using (id)),
+def _merge_sql(rows: str = "linkable") -> str:
+    return f"""with recursive {_components_sql(rows)}, unit_rows as (
+  select coalesce(component, id) as unit, component is not null as clustered, l.* from {rows} l left join components using (id)),
 {_golden_sql('unit_rows')}, unit as (
   select g.*, u.clustered, coalesce('registry ' || epa_registry_id, 'name ' || name || '|' || coalesce(city, '') || '|' || coalesce(state, '')) as nk,
     name || '|' || coalesce(city, '') || '|' || coalesce(state, '') as nkey,
@@ -243,6 +251,9 @@ final as (select u.unit, u.name, u.city, u.state, u.epa_registry_id,
   from (select keeper, max(source_count) as n, max(confidence) as c from links join unit using (unit) group by keeper) g
   join unit u on u.unit = g.keeper left join recount rc on rc.keeper = g.keeper)"""
 
+
+_MERGE = _merge_sql()
+
 FIELDS_SQL = "array_to_string(list_filter([" + ", ".join(
     f"case when {c} is not null and cast({c} as varchar) not in ('', '0') then '{label}' end"
     for c, label in (
@@ -311,5 +322,13 @@ QUERIES = {
     "merge_again": (
         merge_again,
         f"{_MERGE} select count(*) as facilities, 0 as created, count(*) as before from final"),
-    "full_run": (full_run, None),
+    "full_run": (
+        full_run,
+        f"""{_merge_sql('distinct_linkable')}, staff as (select keeper, arg_max(osha_employee_count, (osha_inspection_date, -row)) as n from (
+          select *, row_number() over (order by raw_record_id) as row from edges_out where osha_employee_count > 0) group by keeper)
+        select f.name, u.company_name, f.city, f.state, f.epa_registry_id, f.source_count, cast(s.n as varchar) as employee_count,
+        cast(least(100, 30 + case when f.source_count >= 3 then 30 when f.source_count >= 2 then 20 else 0 end
+          + case when u.latitude is not null then 20 else 0 end + case when u.company_name is not null then 10 else 0 end
+          + case when s.n > 0 then 10 else 0 end) as int) as confidence
+        from final f join unit u on u.unit = f.unit left join staff s on s.keeper = f.unit"""),
 }

@@ -162,7 +162,9 @@ def linkable_cte() -> str:
   select * from raw_records where source <> 'osha' union all
   select * exclude (rn) from (select *, row_number() over (
     partition by upper(raw_name), upper(raw_city), upper(raw_state) order by osha_inspection_date desc nulls last, id) as rn
-    from raw_records where source = 'osha') where rn = 1)"""
+    from raw_records where source = 'osha') where rn = 1),
+distinct_linkable as (select * exclude (rn) from (select *, row_number() over (partition by source, source_record_id order by id) as rn
+  from linkable) where rn = 1)"""
 
 
 def prepared_cte(rows: str = "linkable") -> str:

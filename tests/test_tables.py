@@ -50,6 +50,24 @@ def test_single_record_joins_by_registry_then_name(spark):
     assert rows[owner["7"]].name == "Unknown Facility"
 
 
+def test_new_record_joins_the_row_of_its_match(spark):
+    base = dict(raw_address="1 MAIN STREET", raw_city="WACO", raw_state="TX", raw_zip="77001", raw_latitude="30.0",
+                raw_longitude="-97.0", raw_naics_code="332710", registry_id=None, tri_parent_company_name=None, osha_employee_count=None)
+    schema = ("id string, source string, source_record_id string, raw_name string, raw_address string, raw_city string, raw_state string, "
+              "raw_zip string, raw_latitude string, raw_longitude string, raw_naics_code string, registry_id string, tri_parent_company_name string, "
+              "osha_employee_count int, osha_inspection_date timestamp")
+    def frame(*rows):
+        return spark.createDataFrame([{**base, "source_record_id": r["id"], "osha_inspection_date": None, **r} for r in rows], schema)
+    old = frame(dict(id="1", source="epa_echo", raw_name="ACME BOLTS"), dict(id="2", source="osha", raw_name="FAR GEARS", raw_zip="99901"))
+    first = jobs.match_and_merge(jobs.Store(old))
+    assert first.facilities.count() == 2
+    new = frame(dict(id="3", source="manual", raw_name="ACME BOLT"), dict(id="4", source="manual", raw_name="NEW SHOP", raw_zip="88801"))
+    second = jobs.match_and_merge(jobs.Store(new, first.facilities, first.companies, first.facility_sources), earlier=old)
+    owner = {r.raw_record_id: r.facility_id for r in second.facility_sources.collect()}
+    assert owner["1"] == owner["3"] and len(set(owner.values())) == 3
+    assert second.facilities.count() == 3
+
+
 def test_confirmed_pairs_merge_on_request(spark):
     found = linkage.match(linkable(spark, SF))
     reviewed = linkage.Candidates(found.pairs.withColumn("status", F.regexp_replace("status", "pending", "confirmed")), found.members)
