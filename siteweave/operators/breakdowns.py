@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siteweave import constants as K
 from siteweave.functions.industry import category_key, category_label
-from siteweave.functions.text import blank_to_null, starts, text_array
+from siteweave.functions.text import blank_to_null, lookup, starts, text_array
 from siteweave.operators.filters import ExportFilter, in_listed_states, same_city
 
 
@@ -78,17 +78,27 @@ def top_states_per_subsector(facilities: DataFrame, n: int = 5) -> DataFrame:
     return counts.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n)
 
 
+def _sector_categories() -> list[tuple[str, str]]:
+    found = []
+    for sector in K.SECTOR_CODES:
+        key = next(key for key, _, prefixes in K.CATEGORIES if any(p.startswith(sector) for p in prefixes))
+        if key not in ("aerospace", "automobiles"):
+            found.append((sector, key))
+    return found
+
+
 def categories(facilities: DataFrame) -> DataFrame:
     """Roll-up to industry categories.
 
     ``company_count`` adds up the distinct companies of the codes below a category, so a
     company with two codes counts twice; ``distinct_companies`` counts it once. Code 336
-    splits by its fourth digit, and all but 3364 of it is automobiles.
+    splits by its fourth digit, and all but 3364 of it is automobiles. A bare sector code
+    goes to the first category below it, unless that is one of the two split ones.
     """
     code = F.col("primary_naics")
     transport = starts(code, 3) == "336"
     key = F.when(transport, F.when(starts(code, 4) == "3364", "aerospace").otherwise("automobiles")).otherwise(
-        category_key(starts(code, 3))
+        F.coalesce(category_key(starts(code, 3)), lookup(_sector_categories(), starts(code, 3)))
     )
     unit = F.when(transport, starts(code, 4)).otherwise(starts(code, 3))
     rows = manufacturing(facilities).select(key.alias("key"), unit.alias("unit"), "company_id").filter("key is not null")

@@ -211,7 +211,7 @@ def apply_edits(facilities: DataFrame, edits: DataFrame) -> dict[str, DataFrame]
     new_columns["source_count"] = F.when(is_new_source, F.size(grown)).otherwise(F.col("source_count"))
     golden = joined.select(*[new_columns[c].alias(c) if c in new_columns else F.col(c) for c in facilities.columns])
 
-    record_id = F.concat(F.lit("openx_edit_"), "id", F.lit("_"), "edit_id")
+    record_id = F.concat(F.lit("manual_edit_"), "id", F.lit("_"), "edit_id")
     audit = joined.filter(touched).select(
         F.sha2(F.concat_ws("\x1f", F.lit("manual"), record_id), 256).alias("id"),
         F.lit("manual").alias("source"),

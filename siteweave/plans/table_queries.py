@@ -695,7 +695,7 @@ QUERIES = {
     "manual_edit_audit": (
         lambda s, d: S.apply_edits(fac(s, d), edits(s, d))["raw_records"].select(
             "source_record_id", "raw_name", "raw_zip", F.array_join("edited_fields", ",").alias("edited"), F.col("previous")["name"].alias("old_name")),
-        f"""with {_EDITED} select 'openx_edit_' || f.id || '_' || e.edit_id as source_record_id, e.new_name as raw_name, f.zip as raw_zip,
+        f"""with {_EDITED} select 'manual_edit_' || f.id || '_' || e.edit_id as source_record_id, e.new_name as raw_name, f.zip as raw_zip,
         concat_ws(',', case when e.new_name <> f.name then 'name' end, case when f.zip is not null then 'zip' end,
           case when f.employee_count is distinct from 12 then 'employee_count' end) as edited, case when e.new_name <> f.name then f.name end as old_name
         from facilities f join e using (id) where e.new_name <> f.name or f.zip is not null or f.employee_count is distinct from 12"""),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siteweave import fixtures as X
 from siteweave.functions.scoring import MatchConfig
-from siteweave.operators import components, dedup, golden, linkage, sinks
+from siteweave.operators import breakdowns, components, dedup, golden, linkage, sinks
 from siteweave.operators.filters import CompanyFilter, FacilityFilter, naics_prefixes
 from siteweave.operators.paging import facility_page
 from siteweave.plans import jobs
@@ -116,6 +116,13 @@ def test_filters_and_pages(spark):
     assert seen == want
 
 
+def test_categories_of_bare_sector_codes(spark):
+    rows = spark.createDataFrame([("31", "a"), ("32", "a"), ("33", "a"), ("336", "a"), ("3364", "a"), ("336411", "b")],
+                                 "primary_naics string, company_id string")
+    got = {r.key: (r.facility_count, r.company_count, r.distinct_companies) for r in breakdowns.categories(rows).collect()}
+    assert got == {"organics": (1, 1, 1), "chemicals": (1, 1, 1), "automobiles": (1, 1, 1), "aerospace": (2, 2, 2)}
+
+
 def test_sorted_csv(spark, tmp_path):
     facilities = X.derive(spark, SF, X.FACILITIES).withColumn("name", F.concat("name", F.lit(', "x"')))
     out = sinks.factory_export(facilities, F.lit(True))
