@@ -58,3 +58,8 @@ def hash_share(key: Column, wanted: int, total: int, salt: int) -> Column:
     if total <= wanted:
         return F.lit(True)
     return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 40)) < int((1 << 40) * (wanted / total))
+
+
+def hinted(df: DataFrame, most_rows: int) -> DataFrame:
+    """With a broadcast hint if a count shows that it has ``most_rows`` rows at most; else Spark joins it by shuffling."""
+    return F.broadcast(df) if df.count() <= most_rows else df

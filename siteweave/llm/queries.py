@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm import bpe, langid, simhash
+from siteweave.llm import bpe, langid, lines, quality, simhash
 from siteweave.llm.common import table
 
 
@@ -25,13 +25,47 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "lines_removed", "text")
+
+
+OP8_SQL = """
+with cut as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
+occ as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as n from cut),
+w as (
+  select doc_id, line, n, cast(doc_id as hugeint) * 4294967296 + n as pos,
+    list_filter(string_split_regex(line, '[ \\t\\x0B\\f\\r]+'), lambda x: x <> '') as ws
+  from occ),
+d as (select ws, array_to_string(ws, ' ') as line, min(pos) as first, len(ws) as m from w where len(ws) > 0 group by ws),
+long as (select * from d where m >= 5),
+place as (select line, ws, first, m, unnest(range(1, m + 1)) as i from long),
+var as (select line, first, m, i, array_to_string(list_concat(list_slice(ws, 1, i - 1), list_slice(ws, i + 1, m)), ' ') as v from place),
+near as (
+  select a.line from var a join var b on a.v = b.v and a.i = b.i and a.m = b.m where b.first < a.first
+  union select a.line from var a join long b on a.v = b.line and b.m = a.m - 1 where b.first < a.first
+  union select b.line from var a join long b on a.v = b.line and b.m = a.m - 1 where a.first < b.first),
+gone as (select w.doc_id, w.n from w join d using (ws) where w.pos > d.first or d.line in (select line from near)),
+kept as (
+  select o.doc_id, string_agg(o.line, chr(10) order by o.n) filter (where g.n is null) as text, count(g.n) as lines_removed
+  from occ o left join gone g on g.doc_id = o.doc_id and g.n = o.n group by o.doc_id)
+select c.doc_id, cast(coalesce(k.lines_removed, 0) as int) as lines_removed,
+  case when c.text is null then null else coalesce(k.text, '') end as text
+from cut c left join kept k using (doc_id)
+"""
+
 #: name: (query, SQL or None). Without SQL the query is tested against brute force in tests/llm.
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
     "op2_bpe_round_trip": (op2_bpe_round_trip, None),
+    "op5_quality": (op5_quality, None),
     "op7_simhash": (op7_simhash, None),
+    "op8_line_dedup": (op8_line_dedup, OP8_SQL),
 }
