@@ -6,6 +6,8 @@ neighbours in the learning texts. A document is the mean of its words' vectors,
 fed to a network of two layers whose logit is divided by a temperature that was
 fitted on learning rows that the network had not seen.
 
+A word that repeats the one before it counts as the one word ``AGAIN``, so that
+stuttering texts are told from prose by their words' contexts like any others.
 Words outside the vocabulary share the vector of their shape (capital, upper
 case, digits, signs), which takes part in learning like a word.
 
@@ -42,6 +44,8 @@ WINDOW = 2
 #: Words whose place a task keeps; it starts anew when full.
 CACHE_WORDS = 400_000
 
+#: Stands for a word that repeats the one before it, and for no word.
+AGAIN, NONE = "<again>", "<none>"
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
@@ -72,8 +76,12 @@ class Words:
     def places(self, text: str | None) -> list[int]:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known, out = self.known, []
+        known, out, again, before = self.known, [], self.place.get(AGAIN, 0), None
         for word in text.split() if text else ():
+            if word == before:
+                out.append(again)
+                continue
+            before = word
             found = known.get(word)
             if found is None:
                 found = [self._place(t) for t in TOKEN.findall(word)]
@@ -172,7 +180,7 @@ def _fit(rows: DataFrame, vocabulary_size: int, min_count: int) -> QualityModel
 
     counted = texts.mapInArrow(tokens, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     common = counted.filter(F.col("n") >= min_count).orderBy(F.desc("n"), "word").limit(vocabulary_size).select("word")
-    vocabulary = ["<none>", *(r["word"] for r in common.collect())]
+    vocabulary = [NONE, AGAIN, *(r["word"] for r in common.collect())]
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def contexts(batches):

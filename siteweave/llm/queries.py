@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm import bpe, langid, lines, quality, simhash
+from siteweave.llm import bpe, langid, leaks, lines, quality, shards, simhash, topk, urls
 from siteweave.llm.common import table
 
 
@@ -25,10 +25,53 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+OP3_SQL = """
+with rules(verdict, rule, rhost, rpath) as (values
+  ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
+  ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
+cut as (
+  select page_id, url, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+parts as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from cut),
+fit as (
+  select p.page_id, max_by(struct_pack(rule := rule, verdict := verdict), length(rule)) as r
+  from parts p join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by p.page_id)
+select p.page_id, coalesce(host, '') as host, coalesce(path, '') as path, fit.r.rule as rule, coalesce(fit.r.verdict, 'allow') as verdict
+from parts p left join fit using (page_id)
+"""
+
+
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+OP6_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+from scored qualify rank <= 5
+"""
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,11 +104,42 @@ select c.doc_id, cast(coalesce(k.lines_removed, 0) as int) as lines_removed,
 from cut c left join kept k using (doc_id)
 """
 
+def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("leaks") > 0).alias("contaminated"),
+        F.array_join(leaks.item_list("leaks").cast("array<string>"), ",").alias("items"),
+    )
+
+
+OP10_SQL = """
+with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as ts from documents),
+b as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as ts from benchmark where text is not null),
+item as (
+  select item_id, ts, len(ts) as m, least(len(ts), 13) as w, least(len(ts), 13) - least(len(ts), 13) // 6 as need from b where len(ts) >= 5),
+bt as (select item_id, m, w, need, unnest(ts) as tok, unnest(range(len(ts))) as pos from item),
+dt as (select doc_id, len(ts) as n, unnest(ts) as tok, unnest(range(len(ts))) as pos from d),
+pair as (
+  select doc_id, n, item_id, m, w, need, dt.pos - bt.pos as diag, list(bt.pos) as ps
+  from dt join bt using (tok) group by all having count(*) >= need),
+win as (select *, unnest(range(0, m - w + 1)) as s from pair),
+leak as (
+  select distinct doc_id, item_id from win
+  where s + diag >= 0 and s + diag + w <= n and len(list_filter(ps, lambda p: p >= s and p < s + w)) >= need)
+select d.doc_id, count(l.item_id) > 0 as contaminated, coalesce(string_agg(cast(l.item_id as varchar), ',' order by l.item_id), '') as items
+from d left join leak l using (doc_id) group by d.doc_id
+"""
+
 #: name: (query, SQL or None). Without SQL the query is tested against brute force in tests/llm.
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
     "op2_bpe_round_trip": (op2_bpe_round_trip, None),
+    "op3_url_rules": (op3_url_rules, OP3_SQL),
+    "op4_shards": (op4_shards, None),
     "op5_quality": (op5_quality, None),
+    "op6_top_k": (op6_top_k, OP6_SQL),
     "op7_simhash": (op7_simhash, None),
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
+    "op10_benchmark_leaks": (op10_benchmark_leaks, OP10_SQL),
 }
