@@ -194,7 +194,7 @@ def _passed(docs: DataFrame, sent, text_col: str, into: str) -> DataFrame:
             leaks = [benchmark.leaks(reader.numbers(t)) for t in batch.column(text_at).to_pylist()]
             if any(leaks):
                 rows = [[*old, *({"item": i, "start": a, "stop": b} for i, a, b in new)] for old, new in zip(before.to_pylist(), leaks)]
-                batch = batch.set_column(into_at, into, pa.array(rows, before.type))
+                batch = batch.set_column(into_at, batch.schema.field(into_at), pa.array(rows, before.type))
             yield batch
 
     return docs.mapInArrow(run, docs.schema)

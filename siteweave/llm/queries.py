@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm import bpe, langid, leaks, lines, quality, shards, simhash, topk, urls
+from siteweave.llm import bpe, html, langid, leaks, lines, quality, shards, simhash, topk, urls
 from siteweave.llm.common import table
 
 
@@ -104,6 +104,10 @@ select c.doc_id, cast(coalesce(k.lines_removed, 0) as int) as lines_removed,
 from cut c left join kept k using (doc_id)
 """
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -141,5 +145,6 @@ QUERIES = {
     "op6_top_k": (op6_top_k, OP6_SQL),
     "op7_simhash": (op7_simhash, None),
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
+    "op9_main_text": (op9_main_text, None),
     "op10_benchmark_leaks": (op10_benchmark_leaks, OP10_SQL),
 }
