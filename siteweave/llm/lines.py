@@ -1,10 +1,10 @@
 """Removal of repeated and nearly repeated lines by a deletion-neighbourhood join.
 
-A line is the sequence of its words. An occurrence of a line goes if the same
-line, or one at most one word away (a word replaced, added or missing), stands
-earlier, in order of document id and line number; the earliest stays. One word
-is the bound for lines of ``min_words`` words or more, which keeps them at least
-four fifths alike; shorter lines go for exact repeats only. Blank lines stay.
+An occurrence of a line goes if the same line, or one whose words are at most
+one word away (a word replaced, added or missing, or other white space only),
+stands earlier, in order of document id and line number; the earliest stays. One
+word is the bound for lines of ``min_words`` words or more, which keeps them at
+least four fifths alike; shorter lines go for exact repeats only. Blank lines stay.
 
 How near lines are found:
 
@@ -51,7 +51,11 @@ SEEDS = (("a", 3), ("b", 5))
 
 
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(line, r"[ \t\u000B\f\r]+"), "")
+    """Words between white space; lines that have no other than blanks take the way without a pattern."""
+    odd = F.lit(False)
+    for c in "\t\v\f\r":
+        odd |= F.contains(line, F.lit(c))
+    return F.array_remove(F.when(odd, F.split(line, r"[ \t\u000B\f\r]")).otherwise(F.split(line, " ")), "")
 
 
 def place(id_col: Column, line_no: Column) -> Column:
@@ -61,25 +65,25 @@ def place(id_col: Column, line_no: Column) -> Column:
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(id, mark, n, words) of each line that is not blank, of rows with id, mark and text."""
-    return (
-        rows.select("id", "mark", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-        .select("id", "mark", "n", words_of(F.col("line")).alias("words"))
-        .filter(F.size("words") > 0)
-    )
+    """(id, mark, n, line) of each line that is not blank, of rows with id, mark and text."""
+    return rows.select("id", "mark", F.posexplode(F.split("text", "\n")).alias("n", "line")).filter(F.col("line").rlike(r"[^ \t\u000B\f\r]"))
 
 
-def line_key(words: Column) -> list[Column]:
+def line_key() -> list[Column]:
     """128 bits of a line."""
-    return [F.xxhash64(words).alias("h1"), F.xxhash64(F.lit(7), words).alias("h2")]
+    return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")]
+
 
+#: Columns of ``half_keys``.
+HALVES = ["k1", "k2", "k3", "k4"]
 
-def half_keys(words: Column, size: Column) -> Column:
+
+def half_keys(words: Column, size: Column) -> list[Column]:
     """Hashes of the halves that a partner of the same length, or one word longer or shorter, must share one of."""
     first = lambda n: F.xxhash64(F.lit(1), F.slice(words, 1, n))
     last = lambda n: F.xxhash64(F.lit(2), F.slice(words, size - n + 1, n))
     half, less = (size / 2).cast("int"), ((size - 1) / 2).cast("int")
-    return F.array_distinct(F.array(first(half), first(less), last(size - half), last(size - 1 - less)))
+    return [first(half), first(less), last(size - half), last(size - 1 - less)]
 
 
 def word_sum(seed: int, moved: int) -> Column:
@@ -133,7 +137,7 @@ def within_one(a: Column, b: Column) -> Column:
 
 def near_lines(rows: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
     """(h1, h2) of the lines that have a partner, one word away, whose first place is before theirs."""
-    keyed = lines.filter(F.col("size") >= min_words).select("h1", "h2", "first", F.explode("halves").alias("half"))
+    keyed = lines.filter(F.col("size") >= min_words).select("h1", "h2", "first", F.explode(F.array_distinct(F.array(*HALVES))).alias("half"))
     shared = cut_lineage(
         keyed.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("half"), "halves"
     )
@@ -145,10 +149,11 @@ def near_lines(rows: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
         occurrences(rows)
         .withColumn("first", place(F.col("id"), F.col("n")))
         .join(at, "first")
-        .select("first", "words", "c1", "c2", *line_key(F.col("words")))
+        .select("first", "line", "c1", "c2", *line_key())
         .filter("h1 = c1 and h2 = c2")
         .groupBy("h1", "h2")
-        .agg(F.min("first").alias("first"), F.first("words").alias("words"))
+        .agg(F.min("first").alias("first"), F.first("line").alias("line"))
+        .select("h1", "h2", "first", words_of(F.col("line")).alias("words"))
         .withColumn("size", F.size("words")),
         "candidate-words",
     )
@@ -160,11 +165,14 @@ def near_lines(rows: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
         F.min(F.when(F.col("whole").isNull(), F.col("first"))).alias("like_first"),
         F.max("first").alias("last_first"),
     )
-    # A key matters if it holds two lines that match: a whole and a variant, or two variants of one place.
+    # A key matters if it holds two lines that match: a whole and a variant, two of one place, or two wholes of other white space.
     earliest = cut_lineage(
-        earliest.filter("(whole_first is not null and part_first is not null) or like_first < last_first").drop("last_first"), "variants"
+        earliest.filter(
+            "(whole_first is not null and part_first is not null) or like_first < last_first or (part_first is null and whole_first < last_first)"
+        ).drop("last_first"),
+        "variants",
     )
-    partner = F.when(F.col("whole"), F.col("part_first")).when(~F.col("whole"), F.col("whole_first")).otherwise(F.col("like_first"))
+    partner = F.when(F.col("whole"), F.least("part_first", "whole_first")).when(~F.col("whole"), F.col("whole_first")).otherwise(F.col("like_first"))
     paired = (
         keys.join(hinted(earliest, BROADCAST_ROWS), "key")
         .withColumn("partner", partner)
@@ -186,16 +194,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, mark, gone) for each document that loses lines: their numbers, from 0, in order. ``mark`` is a hash of its text."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     spots = occurrences(rows)
+    wordy = spots.select(place(F.col("id"), F.col("n")).alias("first"), *line_key(), words_of(F.col("line")).alias("words"))
     size = F.size("words")
-    spread = spots.select(
-        place(F.col("id"), F.col("n")).alias("first"),
-        *line_key(F.col("words")),
-        size.alias("size"),
-        F.when(size >= min_words, half_keys(F.col("words"), size)).alias("halves"),
-    )
+    spread = wordy.select("first", "h1", "h2", size.alias("size"), *[F.when(size >= min_words, k).alias(c) for k, c in zip(half_keys(F.col("words"), size), HALVES)])
     lines = cut_lineage(
         spread.groupBy("h1", "h2").agg(
-            F.min("first").alias("first"), F.max("first").alias("last"), F.first("size").alias("size"), F.first("halves").alias("halves")
+            F.min("first").alias("first"), F.max("first").alias("last"), *[F.max(c).alias(c) for c in ("size", *HALVES)]
         ),
         "lines",
     )
@@ -207,7 +211,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "repeated-lines",
     )
     return (
-        spots.select("id", "mark", "n", *line_key(F.col("words")))
+        spots.select("id", "mark", "n", *line_key())
         .join(hinted(bad, BROADCAST_ROWS), ["h1", "h2"])
         .filter(F.col("keep").isNull() | (place(F.col("id"), F.col("n")) > F.col("keep")))
         .groupBy("id", "mark")

@@ -87,15 +87,16 @@ w as (
   select doc_id, line, n, cast(doc_id as hugeint) * 4294967296 + n as pos,
     list_filter(string_split_regex(line, '[ \\t\\x0B\\f\\r]+'), lambda x: x <> '') as ws
   from occ),
-d as (select ws, array_to_string(ws, ' ') as line, min(pos) as first, len(ws) as m from w where len(ws) > 0 group by ws),
-long as (select * from d where m >= 5),
+d as (select line, any_value(ws) as ws, min(pos) as first, any_value(len(ws)) as m from w where len(ws) > 0 group by line),
+long as (select *, array_to_string(ws, ' ') as plain from d where m >= 5),
 place as (select line, ws, first, m, unnest(range(1, m + 1)) as i from long),
 var as (select line, first, m, i, array_to_string(list_concat(list_slice(ws, 1, i - 1), list_slice(ws, i + 1, m)), ' ') as v from place),
 near as (
   select a.line from var a join var b on a.v = b.v and a.i = b.i and a.m = b.m where b.first < a.first
-  union select a.line from var a join long b on a.v = b.line and b.m = a.m - 1 where b.first < a.first
-  union select b.line from var a join long b on a.v = b.line and b.m = a.m - 1 where a.first < b.first),
-gone as (select w.doc_id, w.n from w join d using (ws) where w.pos > d.first or d.line in (select line from near)),
+  union select a.line from var a join long b on a.v = b.plain and b.m = a.m - 1 where b.first < a.first
+  union select b.line from var a join long b on a.v = b.plain and b.m = a.m - 1 where a.first < b.first
+  union select a.line from long a join long b using (plain) where b.first < a.first),
+gone as (select w.doc_id, w.n from w join d using (line) where w.pos > d.first or d.line in (select line from near)),
 kept as (
   select o.doc_id, string_agg(o.line, chr(10) order by o.n) filter (where g.n is null) as text, count(g.n) as lines_removed
   from occ o left join gone g on g.doc_id = o.doc_id and g.n = o.n group by o.doc_id)
