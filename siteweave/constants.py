@@ -190,21 +190,20 @@ GEO_STEPS = ((100, 100), (500, 85), (1000, 60), (5000, 30))
 
 UNIT_PATTERN = r"\b(SUITE|STE|UNIT|APT|#|ROOM|RM|BLDG|BUILDING|FLOOR|FL)\s*\.?\s*\S+"
 
-# In the order they are applied
+# In the order they are applied. Spellings with a dot are left out: the plain ones match before the dot already.
 DIRECTIONALS = (
     ("N", "NORTH"), ("S", "SOUTH"), ("E", "EAST"), ("W", "WEST"),
     ("NE", "NORTHEAST"), ("NW", "NORTHWEST"), ("SE", "SOUTHEAST"), ("SW", "SOUTHWEST"),
 )
 
 STREET_TYPES = (
-    ("ST", "STREET"), ("AVE", "AVENUE"), ("BLVD", "BOULEVARD"), ("DR", "DRIVE"), ("RD", "ROAD"),
-    ("LN", "LANE"), ("CT", "COURT"), ("CIR", "CIRCLE"), ("PL", "PLACE"), ("TER", "TERRACE"),
-    ("TERR", "TERRACE"), ("PKY", "PARKWAY"), ("PKWY", "PARKWAY"), ("HWY", "HIGHWAY"),
-    ("FWY", "FREEWAY"), ("TPKE", "TURNPIKE"), ("TPK", "TURNPIKE"), ("WAY", "WAY"),
-    ("TRL", "TRAIL"), ("SQ", "SQUARE"),
-)
-# Abbreviations that are also listed with a dot of their own
-DOTTED_STREET_TYPES = ("ST", "AVE", "BLVD", "DR", "RD", "LN", "CT", "CIR", "PL", "HWY")
+    ("ST", "STREET"), ("ST.", "STREET"), ("AVE", "AVENUE"), ("AVE.", "AVENUE"), ("BLVD", "BOULEVARD"),
+    ("BLVD.", "BOULEVARD"), ("DR", "DRIVE"), ("DR.", "DRIVE"), ("RD", "ROAD"), ("RD.", "ROAD"), ("LN", "LANE"),
+    ("LN.", "LANE"), ("CT", "COURT"), ("CT.", "COURT"), ("CIR", "CIRCLE"), ("CIR.", "CIRCLE"), ("PL", "PLACE"),
+    ("PL.", "PLACE"), ("TER", "TERRACE"), ("TERR", "TERRACE"), ("PKY", "PARKWAY"), ("PKWY", "PARKWAY"),
+    ("HWY", "HIGHWAY"), ("HWY.", "HIGHWAY"), ("FWY", "FREEWAY"), ("TPKE", "TURNPIKE"), ("TPK", "TURNPIKE"),
+    ("WAY", "WAY"), ("TRL", "TRAIL"), ("SQ", "SQUARE"),
+)
 
 # --- Fixed values: matching ------------------------------------------------------------------
 

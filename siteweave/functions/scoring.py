@@ -20,8 +20,6 @@ class MatchConfig:
     aggregate_sources: tuple[str, ...] = K.AGGREGATE_SOURCES
     merge_statuses: tuple[str, ...] = ("auto_matched",)
     registry_cross_state: bool = False
-    # True leaves blocks above max_block uncompared instead of splitting their work.
-    skip_large_blocks: bool = False
 
 
 def text_similarity(a: Column, b: Column) -> Column:

@@ -76,8 +76,7 @@ def normalize_address(raw: Column, strict_units: bool = False) -> Column:
     text = F.regexp_replace(strip(F.upper(raw)), unit, "")
     for short, full in K.DIRECTIONALS:
         text = F.regexp_replace(text, rf"\b{short}\b", full)
-    spelled = (*K.STREET_TYPES, *((f"{s}.", dict(K.STREET_TYPES)[s]) for s in K.DOTTED_STREET_TYPES))
-    types = text_map(spelled)
+    types = text_map(K.STREET_TYPES)
     words = F.transform(
         F.split(text, f"{SPACE}+"),
         lambda w: F.coalesce(F.try_element_at(types, F.regexp_replace(w, "[.,]$", "")), w),
@@ -156,13 +155,18 @@ def parse_cursor(text: str) -> tuple[int, str]:
 
 
 def merge_json_objects(base: Column, extra: Column) -> Column:
-    """JSON text objects merged key by key, the second one wins."""
-    kind = "map<string,string>"
-    merged = F.map_zip_with(
-        F.coalesce(F.from_json(base, kind), F.from_json(F.lit("{}"), kind)),
-        F.coalesce(F.from_json(extra, kind), F.from_json(F.lit("{}"), kind)),
-        lambda _, old, new: F.coalesce(new, old),
-    )
+    """JSON text objects merged key by key, the second one wins; values keep their types, nulls included.
+
+    A text that is no object counts as an empty one.
+    """
+    empty = F.create_map().cast("map<string,variant>")
+
+    def entries(text: Column) -> Column:
+        value = F.try_parse_json(text)
+        is_object = F.schema_of_variant(value).startswith("OBJECT")
+        return F.coalesce(F.when(is_object, value.cast("map<string,variant>")), empty)
+
+    merged = F.map_zip_with(entries(base), entries(extra), lambda _, old, new: F.coalesce(new, old))
     return F.to_json(merged)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteweave import constants as K
+from siteweave.operators.paging import looked_up
 from siteweave.functions.industry import category_key, category_label
 from siteweave.functions.text import blank_to_null, lookup, starts, text_array
 from siteweave.operators.filters import ExportFilter, in_listed_states, same_city
@@ -252,8 +253,8 @@ def city_summary(rows: DataFrame) -> DataFrame:
 def city_sample(rows: DataFrame, companies: DataFrame, n: int = 20) -> DataFrame:
     shown = rows.select("id", "name", "company_id", "primary_naics", "primary_naics_description", "confidence")
     top = shown.orderBy(F.desc_nulls_last("confidence"), "id").limit(n)
-    names = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"))
-    return top.join(names, "company_id", "left")
+    names = looked_up(top.select(F.col("company_id").alias("id")), companies.select("id", "name"), "id")
+    return top.join(F.broadcast(names.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"))), "company_id", "left")
 
 
 # --- single rows, runs, exports --------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteweave import constants as K
@@ -21,6 +21,10 @@ def company_id(name: Column) -> Column:
     return F.sha2(F.concat(F.lit("company\x1f"), name), 256)
 
 
+def empty(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "id string, name string, sector string, status string, facility_count bigint")
+
+
 def upsert_companies(companies: DataFrame, names: DataFrame, column: str = "company_name") -> DataFrame:
     """``companies`` plus a row for every new name."""
     wanted = names.select(F.col(column).alias("name")).filter("name is not null").distinct()
@@ -198,17 +202,19 @@ def _forms(rows: DataFrame, *forms: Column) -> DataFrame:
 
 
 def add_tickers(companies: DataFrame, found: DataFrame) -> DataFrame:
-    """Merges the ticker into the JSON object of name variants."""
+    """Merges the ticker into the JSON object of name variants; a company without an outside number takes its ``cik``."""
     extra = F.to_json(F.struct("ticker", "cik", "exchange"))
-    hits = found.select("id", extra.alias("_extra"))
+    hits = found.select("id", extra.alias("_extra"), F.col("cik").alias("_cik"))
+    known = companies if "duns_number" in companies.columns else companies.withColumn("duns_number", F.lit(None).cast("string"))
     return (
-        companies.join(hits, "id", "left")
+        known.join(hits, "id", "left")
+        .withColumn("duns_number", F.coalesce("duns_number", "_cik"))
         .withColumn(
             "name_variants",
             F.when(F.col("_extra").isNotNull(), merge_json_objects(F.col("name_variants"), F.col("_extra")))
             .otherwise(F.col("name_variants")),
         )
-        .select(*companies.columns)
+        .select(*known.columns)
     )
 
 

@@ -1,25 +1,27 @@
 """One row per key, survivors of duplicates, and re-linking to them.
 
-Survivors are picked by aggregation, not by sorting whole groups in a window: the
-partial step leaves one row per key and task, so a key with a third of all rows is
-no heavier than any other.
+Survivors are picked by rank with a limit that runs before the shuffle too: it
+leaves one row per key and task, so a key with a third of all rows is no heavier
+than any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
-    """The row of each key that comes first in ``order`` (ascending; make it total)."""
+    """The row of each key that comes first in ``order`` (ascending; make it total).
+
+    Spark turns the rank's limit into one that also runs before the shuffle, so a
+    key costs one row per task.
+    """
     named = [F.col(k) if isinstance(k, str) else k for k in keys]
-    kept = df.groupBy(*[k.alias(f"_key{i}") for i, k in enumerate(named)]).agg(
-        F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(*order)).alias("_row")
-    )
-    return kept.select("_row.*")
+    rank = F.row_number().over(Window.partitionBy(*named).orderBy(*order))
+    return df.withColumn("_rank", rank).filter("_rank = 1").select(*df.columns)
 
 
 def descending(c: Column) -> Column:
@@ -30,16 +32,8 @@ def descending(c: Column) -> Column:
 def latest_per_key(
     df: DataFrame, keys: Sequence[str | Column], latest: Column, tie: Sequence[Column]
 ) -> DataFrame:
-    """The row with the largest ``latest`` of each key; ties go to the first by ``tie``."""
-    named = [F.col(k) if isinstance(k, str) else k for k in keys]
-    staged = df.select("*", *[k.alias(f"_key{i}") for i, k in enumerate(named)], latest.alias("_latest"))
-    own = [f"_key{i}" for i in range(len(named))]
-    row = F.struct(*[F.col(c) for c in df.columns])
-    per_value = staged.groupBy(*own, "_latest").agg(F.min_by(row, F.struct(*tie)).alias("_row"))
-    kept = per_value.groupBy(*own).agg(
-        F.coalesce(F.max_by("_row", "_latest"), F.first("_row", ignorenulls=True)).alias("_row")
-    )
-    return kept.select("_row.*")
+    """The row with the largest ``latest`` of each key; ties go to the first by ``tie``, nulls come last."""
+    return first_per_key(df, keys, [latest.desc_nulls_last(), *tie])
 
 
 def best_first() -> list[Column]:

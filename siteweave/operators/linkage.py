@@ -37,8 +37,6 @@ AREA = ("state", "area")
 SCORED = ("state", "area", "name", "street", "city", "zip5", "lat", "lng", "naics", "registry_id", "fresh")
 EPSILON = 1e-6
 SEPARATOR = "\x1f"
-# Beyond this many parts per side more copies buy no more parallel work.
-MAX_GRID = 64
 
 
 @dataclass(frozen=True)
@@ -213,7 +211,7 @@ def _split_large(left: DataFrame, right: DataFrame, config: MatchConfig) -> tupl
     """
     sizes = right.groupBy(*JOIN_KEYS).agg(F.count("*").alias("_size")).filter(F.col("_size") > config.max_block)
     parts = F.ceil(F.sqrt(F.col("_size") / config.max_block))
-    sizes = sizes.withColumn("_grid", F.least(parts, F.lit(MAX_GRID)).cast("int")).drop("_size")
+    sizes = sizes.withColumn("_grid", parts.cast("int")).drop("_size")
 
     def placed(rows: DataFrame, own: str, copied: str, seed: int) -> DataFrame:
         known = rows.join(sizes, list(JOIN_KEYS), "left").withColumn("_grid", F.coalesce("_grid", F.lit(1)))
@@ -330,14 +328,6 @@ def registry_pairs(
     )
 
 
-def _by_block_size(rows: DataFrame, config: MatchConfig, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Rows of blocks up to ``max_block`` and rows of larger ones."""
-    present = rows.dropna(subset=list(keys))
-    sizes = present.groupBy(*keys).agg(F.count("*").alias("_size"))
-    large = sizes.filter(F.col("_size") > config.max_block).drop("_size")
-    return present.join(large, list(keys), "left_anti"), present.join(large, list(keys), "left_semi")
-
-
 def match(raw: DataFrame, config: MatchConfig = MatchConfig(), earlier: DataFrame | None = None) -> Candidates:
     """Candidate pairs of ``raw`` and the records behind every fold.
 
@@ -352,21 +342,9 @@ def match(raw: DataFrame, config: MatchConfig = MatchConfig(), earlier: DataFram
         rows = rows.unionByName(_reachable(prepared(earlier, config, fresh=False), rows, config))
     rows = cut_lineage(rows)
     registry = _registry_keys(config)
-    # rows that meet by registry id, and the keys inside which they do
-    by_field, by_registry = rows, [(rows, registry)]
-    if config.skip_large_blocks:
-        by_field, _ = _by_block_size(rows, config, AREA)
-        small, large = _by_block_size(rows, config, registry)
-        # A registry block above the limit still meets inside small areas.
-        in_small_area, _ = _by_block_size(rows, config, AREA)
-        rest = large.join(in_small_area.select("id"), "id", "left_semi")
-        by_registry = [(small, registry), (rest, (*AREA, "registry_id"))]
-    folds = cut_lineage(fold_by_fields(by_field))
-    pairs = scored_pairs(folds, config)
-    members = _field_members(by_field)
-    for part, keys in by_registry:
-        pairs = pairs.unionByName(registry_pairs(part, config, keys))
-        members = members.unionByName(_registry_members(part, keys))
+    folds = cut_lineage(fold_by_fields(rows))
+    pairs = scored_pairs(folds, config).unionByName(registry_pairs(rows, config, registry))
+    members = _field_members(rows).unionByName(_registry_members(rows, registry))
     pairs = cut_lineage(pairs.withColumn("pair_count", F.col("n_a") * F.col("n_b")))
     return Candidates(pairs, members)
 
@@ -393,13 +371,16 @@ def _registry_members(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return joined.select(F.lit("frs_id").alias("match_type"), "fold_id", F.col("id").alias("record_id"))
 
 
-def expand(candidates: Candidates) -> DataFrame:
-    """Record pairs behind the folded ones. Grows with the product of fold sizes; meant for review lists."""
+def expand(candidates: Candidates, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Record pairs behind the folded ones. Grows with the product of fold sizes; meant for review lists.
+
+    ``scope`` names columns, such as a batch number, inside which fold ids hold.
+    """
     members = candidates.members
 
     def side(pairs: DataFrame, which: str) -> DataFrame:
-        m = members.select("match_type", F.col("fold_id").alias(which), F.col("record_id").alias("_record"))
-        joined = pairs.join(m, ["match_type", which], "left")
+        m = members.select("match_type", *scope, F.col("fold_id").alias(which), F.col("record_id").alias("_record"))
+        joined = pairs.join(m, ["match_type", *scope, which], "left")
         return joined.withColumn(which, F.coalesce("_record", which)).drop("_record")
 
     return side(side(candidates.pairs, "record_a"), "record_b").withColumns(

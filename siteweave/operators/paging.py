@@ -16,8 +16,11 @@ def keyset_page(
     """One page by ``value`` then ``key``, both descending, after a ``value:key`` cursor.
 
     The row carries its own cursor and ``has_more`` tells whether another page follows.
+    A page of more than ``MAX_PAGE`` rows is refused; read the table instead.
     """
-    size = min(limit, MAX_PAGE)
+    if not 0 < limit <= MAX_PAGE:
+        raise ValueError(f"a page holds 1 to {MAX_PAGE} rows, not {limit}")
+    size = limit
     rows = df if condition is None else df.filter(condition)
     if after:
         last_value, last_key = parse_cursor(after)
@@ -52,19 +55,29 @@ def review_page(
     page = keyset_page(candidates, "confidence_score", "id", limit, after, condition)
     shown = ("source", "raw_name", "raw_address", "raw_city", "raw_state", "raw_zip", "raw_naics_code", "registry_id")
 
+    # The page names at most two records a row, so its ids go to the records and those come back: neither join moves the table.
+    records = looked_up(page.select(F.explode(F.array("record_a", "record_b")).alias("id")), raw.select("id", *shown), "id")
+
     def side(which: str) -> DataFrame:
-        return raw.select(
-            F.col("id").alias(f"record_{which}"),
-            *[F.col(c).alias(f"{which}_{c.removeprefix('raw_')}") for c in shown],
+        return F.broadcast(
+            records.select(
+                F.col("id").alias(f"record_{which}"),
+                *[F.col(c).alias(f"{which}_{c.removeprefix('raw_')}") for c in shown],
+            )
         )
 
     return page.join(side("a"), "record_a", "left").join(side("b"), "record_b", "left")
 
 
+def looked_up(wanted: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """The rows of ``table`` whose unique ``key`` a page asks for. ``wanted`` is bounded by the page."""
+    return table.join(F.broadcast(wanted.filter(F.col(key).isNotNull()).distinct()), key)
+
+
 def most_recent(df: DataFrame, column: str, key: str, n: int = 20) -> DataFrame:
     return df.orderBy(F.desc_nulls_last(column), key).limit(n)
 
 
-def random_sample(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` rows in random order; a seed makes the order repeatable for stable input."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def random_sample(df: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
+    """``n`` rows in an order drawn from a hash of ``key`` and ``seed``: the same rows however the table is partitioned."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)

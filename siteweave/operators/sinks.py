@@ -133,15 +133,18 @@ def read_version(spark: SparkSession, base: str, version: int) -> DataFrame:
 
 def run_ledger(spark: SparkSession, run_id: str, source: str, status: str, counts: dict[str, int],
                errors: Sequence[str] = (), seconds: float = 0.0) -> DataFrame:
-    """One ledger row of a run; the error list keeps its first hundred entries."""
-    row = (run_id, source, status, counts, len(errors), list(errors[:100]), int(seconds * 1000))
+    """One ledger row of a run; its errors are rows of ``run_errors``."""
+    row = (run_id, source, status, counts, len(errors), int(seconds * 1000))
     return spark.createDataFrame(
-        [row],
-        "id string, source string, status string, counts map<string,bigint>, error_count int, "
-        "errors array<string>, duration_ms bigint",
+        [row], "id string, source string, status string, counts map<string,bigint>, error_count int, duration_ms bigint"
     ).withColumn("completed_at", F.current_timestamp())
 
 
+def run_errors(spark: SparkSession, run_id: str, errors: Sequence[str]) -> DataFrame:
+    """(run_id, seq, error): every error of a run."""
+    return spark.createDataFrame([(run_id, i, e) for i, e in enumerate(errors)], "run_id string, seq int, error string")
+
+
 def counted(df: DataFrame, **conditions: Column) -> tuple[DataFrame, Observation]:
     """The rows unchanged, and counters that fill while another action reads them."""
     seen = Observation()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from siteweave.functions.scoring import MatchConfig
 from siteweave.operators import components, dedup, golden, linkage
 from siteweave.plans import jobs
 from siteweave.plans import oracle_text as O
-from siteweave.streaming.incremental import match_new
+from siteweave.session import shared_folder
+from siteweave.streaming.incremental import current_state, match_new, match_stream
 
 # A rule list over the words of the given part table, as a user would supply one.
 RULES = (
@@ -76,11 +79,6 @@ def registry_pairs_any_state(spark: SparkSession, sf: str) -> DataFrame:
     return linkage.registry_pairs(rows, config).select("record_a", "record_b", "confidence_score")
 
 
-def match_skip_large_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    config = MatchConfig(max_block=20, skip_large_blocks=True)
-    return linkage.match(linkable(spark, sf), config).pairs.select(*PAIR_COLUMNS)
-
-
 def incremental_match(spark: SparkSession, sf: str) -> DataFrame:
     """Half of the records first, the other half as a later batch: the pairs of one full run."""
     raw = linkable(spark, sf)
@@ -165,6 +163,52 @@ def merge_again(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def merge_bridge(spark: SparkSession, sf: str) -> DataFrame:
+    """A second run whose clusters each span two golden rows of the first, told apart by registry id."""
+    raw = X.derive(spark, sf, X.RAW_RECORDS).filter("source = 'epa_echo' and registry_id is not null")
+    first = golden.merge(raw, spark.createDataFrame([], "id string, component string"))
+    number = F.col("source_record_id").cast("long")
+    tied = raw.select("id", F.concat(F.lit("b"), (number - number % 4).cast("string")).alias("component"))
+    second = golden.merge(raw, tied, first.facilities, (), first.lineage)
+    owner = second.lineage.select(F.col("facility_id").alias("id")).distinct()
+    return second.facilities.agg(
+        F.count("*").alias("facilities"),
+        first.facilities.agg(F.count("*").alias("n")).scalar().alias("before"),
+        second.redirects.agg(F.count("*").alias("n")).scalar().alias("redirected"),
+        second.facilities.join(owner, "id", "left_anti").agg(F.count("*").alias("n")).scalar().alias("without_lineage"),
+        second.redirects.join(owner, F.col("new_id") == F.col("id"), "left_anti").agg(F.count("*").alias("n")).scalar().alias("dangling"),
+    )
+
+
+def candidate_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Record pairs behind the folded candidates of all inspections."""
+    pairs = linkage.expand(linkage.match(X.derive(spark, sf, X.RAW_RECORDS)))
+    return pairs.select(
+        F.least("record_a", "record_b").alias("record_a"), F.greatest("record_a", "record_b").alias("record_b"),
+        "confidence_score", "match_type", "status",
+    )
+
+
+def stream_match_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """All inspections in three micro-batches, so that copies fall into different ones: the record pairs behind the
+    stored folds, and whether merged pairs ended in one golden row."""
+    raw = X.derive(spark, sf, X.RAW_RECORDS)
+    folder = f"{shared_folder(spark).rstrip('/')}/stream-match-{uuid.uuid4().hex}"
+    for i in range(3):
+        raw.filter(F.pmod(F.crc32("id"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    match_stream(stream, f"{folder}/state", f"{folder}/progress").awaitTermination()
+    pairs, members = (spark.read.parquet(f"{folder}/state/{name}") for name in ("pairs", "members"))
+    edges = current_state(spark, f"{folder}/state", "lineage").select("raw_record_id", "facility_id")
+    tagged = linkage.expand(linkage.Candidates(pairs, members), ("batch",)).select(
+        F.least("record_a", "record_b").alias("record_a"), F.greatest("record_a", "record_b").alias("record_b"), "confidence_score", "status"
+    )
+    for which in "ab":
+        tagged = tagged.join(edges.select(F.col("raw_record_id").alias(f"record_{which}"), F.col("facility_id").alias(f"in_{which}")), f"record_{which}", "left")
+    together = F.when(F.col("status") == "auto_matched", F.coalesce(F.col("in_a") == F.col("in_b"), F.lit(False)))
+    return tagged.select("record_a", "record_b", "confidence_score", "status", together.alias("together"))
+
+
 def full_run(spark: SparkSession, sf: str) -> DataFrame:
     """Sources to enriched golden rows: match, merge, companies, sectors, staff, confidence."""
     raw = X.derive(spark, sf, X.RAW_RECORDS)
@@ -295,11 +339,6 @@ QUERIES = {
         registry_pairs_any_state,
         f"""with {O.prepared_cte()} select a.id as record_a, b.id as record_b, 99 as confidence_score
         from prepared a join prepared b on a.registry_id = b.registry_id and a.id < b.id and a.source <> b.source"""),
-    "match_skip_large_blocks": (
-        match_skip_large_blocks,
-        f"""with {_CANDIDATES}, small as (select state, area from prepared where state is not null group by 1, 2 having count(*) <= 20)
-        select {', '.join('c.' + c for c in PAIR_COLUMNS)} from candidates c join prepared p on p.id = c.record_a
-        where c.match_type = 'frs_id' or (p.state, p.area) in (select (state, area) from small)"""),
     "incremental_match": (
         incremental_match, f"with {_CANDIDATES} select record_a, record_b, confidence_score, status from candidates"),
     "connected_components": (connected_components, f"with recursive {_COMPONENTS} select id, component from components"),
@@ -322,6 +361,25 @@ QUERIES = {
     "merge_again": (
         merge_again,
         f"{_MERGE} select count(*) as facilities, 0 as created, count(*) as before from final"),
+    "merge_bridge": (
+        merge_bridge,
+        f"""with {O.raw_cte()}, r as (select cast(source_record_id as bigint) as k from raw_records where source = 'epa_echo' and registry_id is not null)
+        select count(distinct k - k % 4) as facilities, count(*) as before, count(*) - count(distinct k - k % 4) as redirected,
+        0 as without_lineage, 0 as dangling from r"""),
+    "candidate_records": (
+        candidate_records,
+        f"""with {O.candidates_cte('raw_records')} select a_id as record_a, b_id as record_b,
+        case when registered then 99 else composite end as confidence_score,
+        case when registered then 'frs_id' else 'geo_name' end as match_type,
+        case when registered or composite >= 90 then 'auto_matched' else 'pending' end as status
+        from scored where registered or composite >= 60"""),
+    "stream_match_merge": (
+        stream_match_merge,
+        f"""with {O.candidates_cte('raw_records')} select a_id as record_a, b_id as record_b,
+        case when registered then 99 else composite end as confidence_score,
+        case when registered or composite >= 90 then 'auto_matched' else 'pending' end as status,
+        case when registered or composite >= 90 then true end as together
+        from scored where registered or composite >= 60"""),
     "full_run": (
         full_run,
         f"""{_merge_sql('distinct_linkable')}, staff as (select keeper, arg_max(osha_employee_count, (osha_inspection_date, -row)) as n from (

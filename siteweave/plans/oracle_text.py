@@ -34,7 +34,7 @@ def address(c: str) -> str:
     text = f"regexp_replace({strip(f'upper({c})')}, {quote(K.UNIT_PATTERN)}, '', 'g')"
     for short, full in K.DIRECTIONALS:
         text = f"regexp_replace({text}, {quote(rf'{chr(92)}b{short}{chr(92)}b')}, {quote(full)}, 'g')"
-    types = map_of([*K.STREET_TYPES, *[(f"{s}.", dict(K.STREET_TYPES)[s]) for s in K.DOTTED_STREET_TYPES]])
+    types = map_of(K.STREET_TYPES)
     words = (
         f"list_transform(string_split_regex({text}, '\\s+'), "
         f"lambda w: coalesce({types}[regexp_replace(w, '[.,]$', '')], w))"

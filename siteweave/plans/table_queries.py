@@ -13,7 +13,9 @@ from siteweave.functions import confidence as CF
 from siteweave.functions import industry as I
 from siteweave.functions import predicates as PR
 from siteweave.functions import text as T
-from siteweave.functions.company import clean_company, extract_company, is_blocked, normalize_company, title_case, with_company
+from siteweave.functions.company import (
+    clean_company, extract_company, is_blocked, normalize_company, rules_from_table, title_case, with_company,
+)
 from siteweave.functions.geo import validate_coordinates
 from siteweave.operators import companies as C
 from siteweave.operators import paging
@@ -127,6 +129,78 @@ def fsis_scan(s: SparkSession, d: str) -> DataFrame:
         "source_record_id", "raw_name", "raw_state", "raw_naics_code", "fsis_activities", "fsis_size_category")
 
 
+def _files(s: SparkSession, parts: list[DataFrame]) -> str:
+    """The parts as CSV files of one folder tree, each with its own header."""
+    folder = _stream_folder(s, "csv")
+    for i, part in enumerate(parts):
+        part.write.option("header", True).option("escape", '"').csv(f"{folder}/part={i}")
+    return f"{folder}/part=*"
+
+
+def osha_files(s: SparkSession, d: str) -> DataFrame:
+    """Inspections written as files of two header spellings and orders, names with quotes and line breaks, and read back."""
+    rows = X.table(s, d, "part").selectExpr(
+        "cast(p_partkey as string) as activity_nr",
+        "upper(p_name) || case when p_partkey % 5 = 0 then chr(10) else ' ' end || case when p_partkey % 7 = 0 then '\"M\", ' else '' end "
+        "|| 'MILL ' || p_partkey as estab_name",
+        "p_partkey || ' OAK ST, STE 1' as site_address", "'Springfield' as site_city", "'TX' as site_state", "'75001' as site_zip",
+        "case when p_partkey % 3 = 0 then '445110' else '332710' end as naics_code", "cast(p_size as string) as nr_in_estab",
+        "'2024-01-02' as open_date",
+    )
+    upper = rows.filter("activity_nr % 2 = 1").select(*[F.col(c).alias(c.upper()) for c in reversed(rows.columns)])
+    plain = rows.filter("activity_nr % 4 = 0").select(*sorted(rows.columns))
+    camel = rows.filter("activity_nr % 4 = 2").select(*[F.col(c).alias("".join(w.title() for w in c.split("_"))) for c in rows.columns])
+    found = SF.read_osha(s, _files(s, [upper, plain, camel]))
+    return found.select("source_record_id", "raw_name", "raw_address", "raw_state", "raw_naics_code", "osha_employee_count")
+
+
+_OSHA_FILES = f"""with r as (select cast(p_partkey as varchar) as source_record_id,
+    upper(p_name) || case when p_partkey % 5 = 0 then chr(10) else ' ' end || case when p_partkey % 7 = 0 then '"M", ' else '' end || 'MILL ' || p_partkey as raw_name,
+    p_partkey || ' OAK ST, STE 1' as raw_address, 'TX' as raw_state, '332710' as raw_naics_code, cast(p_size as int) as osha_employee_count
+  from part where p_partkey % 3 <> 0)
+select * from r where not {O.stub('raw_name')}"""
+
+
+def fsis_files(s: SparkSession, d: str) -> DataFrame:
+    rows = X.derive(s, d, X.FSIS_ROWS).select(
+        F.col("est_number").alias("EstNumber"), F.concat("company", F.lit("\n& Sons")).alias("Company"), F.col("state").alias("State"),
+        F.col("size").alias("Size"), F.col("ingest_seq").cast("int").alias("n"),
+    )
+    renamed = {"EstNumber": "Est Number", "Company": "Establishment Name", "State": "STATE", "Size": "SIZE"}
+    odd = rows.filter("n % 4 >= 2").drop("n").withColumnsRenamed(renamed)
+    even = rows.filter("n % 4 < 2").drop("n")
+    found = SF.read_fsis(s, _files(s, [even, odd.select(*reversed(odd.columns))]))
+    return found.select("source_record_id", "raw_name", "raw_state")
+
+
+def ticker_write(s: SparkSession, d: str) -> DataFrame:
+    """Companies after the ticker list: variants merged with their types, the outside number filled where it was empty."""
+    companies = com(s, d).withColumns({
+        "name_variants": F.expr("case when facility_count % 2 = 0 then '{\"n\":1,\"ticker\":null}' end"),
+        "duns_number": F.expr("case when facility_count % 3 = 0 then 'D1' end"),
+    })
+    return C.add_tickers(companies, C.match_tickers(companies, tickers(s, d))).select(
+        "id", "duns_number", F.get_json_object("name_variants", "$.n").alias("n"), F.get_json_object("name_variants", "$.ticker").alias("ticker")
+    )
+
+
+def many_rules(s: SparkSession, d: str):
+    """Some hundred overlapping rules over the words of the part table, as a table: brand and type, then brand, then type."""
+    parts = X.table(s, d, "part").select(F.upper("p_brand").alias("b"), F.split(F.upper("p_name"), " ")[0].alias("w")).distinct()
+    both = parts.select(F.lit(0).alias("level"), F.concat("w", F.lit(r"\b.*\b"), "b", F.lit(r"\b")).alias("pattern"), F.concat_ws(" ", "w", "b").alias("company"))
+    brand = parts.select(F.lit(1).alias("level"), F.concat(F.lit(r"\b"), "b", F.lit(r"\b")).alias("pattern"), F.col("b").alias("company")).distinct()
+    word = parts.select(F.lit(2).alias("level"), F.concat(F.lit(r"\b"), "w", F.lit(r"\b")).alias("pattern"), F.col("w").alias("company")).distinct()
+    listed = both.unionByName(brand).unionByName(word)
+    numbered = listed.select(F.concat_ws("|", "level", "pattern").alias("rule_no"), "pattern", F.concat(F.lit("Rule "), "company").alias("company"), F.lit(False).alias("exact_case"))
+    return rules_from_table(numbered)
+
+
+def company_rules_many(s: SparkSession, d: str) -> DataFrame:
+    names = X.table(s, d, "part").select("p_partkey", F.concat(F.upper("p_name"), F.lit(" "), F.upper("p_brand"), F.lit(" WORKS")).alias("name"))
+    names = names.withColumn("name", F.when(F.col("p_partkey") % 3 == 0, F.split("name", " ")[0]).when(F.col("p_partkey") % 3 == 1, F.expr("'X ' || substring_index(name, ' ', -2)")).otherwise(F.col("name")))
+    return names.select("p_partkey", normalize_company(F.col("name"), many_rules(s, d)).alias("company"))
+
+
 def tickers(s: SparkSession, d: str) -> DataFrame:
     """Listing pages of two hundred rows, in the array-of-arrays layout."""
     rows = X.table(s, d, "part").select(
@@ -488,6 +562,32 @@ QUERIES = {
           nullif({O.strip(f"regexp_replace(upper(name), {O.quote('(?i)' + K.COMPANY_STRIP_PATTERN)}, '', 'g')")}, '')]) as form, unnest([1, 2, 3, 4]) as pos from companies)
         select id, arg_min(e.ticker, pos) as ticker, lpad(cast(arg_min(e.seq, pos) as varchar), 10, '0') as cik, 'NYSE' as exchange
         from o join k using (form) group by id"""),
+    "ticker_write": (
+        ticker_write,
+        f"""with {COM}, t as (select p_partkey as seq, p_brand || ([' Inc', ', CORP.', ' Holdings', ''])[cast(p_partkey % 4 + 1 as int)] as name,
+          'T' || p_partkey as ticker from part),
+        f as (select seq, ticker, unnest([{O.normalize_company('name', ())}, {O.clean_company('name')},
+          nullif({O.strip(f"regexp_replace(name, {O.quote('(?i)' + K.TICKER_STRIP_PATTERN)}, '', 'g')")}, '')]) as form, unnest([1, 2, 3]) as pos from t),
+        k as (select form, arg_min(struct_pack(seq := seq, ticker := ticker), (seq, pos)) as e from f where form is not null group by 1),
+        o as (select id, unnest([name, {O.normalize_company('name', ())}, {O.clean_company('name')},
+          nullif({O.strip(f"regexp_replace(upper(name), {O.quote('(?i)' + K.COMPANY_STRIP_PATTERN)}, '', 'g')")}, '')]) as form, unnest([1, 2, 3, 4]) as pos from companies),
+        h as (select id, arg_min(e.ticker, pos) as ticker, lpad(cast(arg_min(e.seq, pos) as varchar), 10, '0') as cik from o join k using (form) group by id)
+        select id, coalesce(case when facility_count % 3 = 0 then 'D1' end, cik) as duns_number,
+          case when facility_count % 2 = 0 then '1' end as n, ticker from companies left join h using (id)"""),
+    "ticker_count": (
+        lambda s, d: Q.ticker_count(C.add_tickers(com(s, d).withColumn("name_variants", F.lit(None).cast("string")), C.match_tickers(com(s, d).filter("name < 'Brand#3'"), tickers(s, d)))),
+        f"with {COM} select count(*) filter (where name < 'Brand#3') as with_ticker from companies"),
+    "osha_files": (osha_files, _OSHA_FILES),
+    "fsis_files": (
+        fsis_files,
+        f"""with fsis as ({X.for_oracle(X.FSIS_ROWS)}),
+        r as (select est_number as est, arg_min(company, ingest_seq) as company, arg_min(state, ingest_seq) as state from fsis group by 1)
+        select 'FSIS-' || est as source_record_id, company || chr(10) || '& Sons' as raw_name, state as raw_state from r"""),
+    "company_rules_many": (
+        company_rules_many,
+        """with p as (select p_partkey, split_part(upper(p_name), ' ', 1) as w, upper(p_brand) as b from part),
+        words as (select distinct w from p), pairs as (select distinct w, b from p)
+        select p.p_partkey, 'Rule ' || case when p_partkey % 3 = 0 then w when p_partkey % 3 = 1 then b else w || ' ' || b end as company from p"""),
     "crosswalk": (
         lambda s, d: SC.with_crosswalk_naics(
             X.table(s, d, "part").select("p_partkey", (F.col("p_partkey") % 400).cast("string").alias("sic")).select(
@@ -708,12 +808,23 @@ QUERIES = {
         lambda s, d: S.apply_decisions(review_candidates(s, d), decisions(s, d)).select("id", "status"),
         f"""with {REVIEW}, {_DECISIONS} select c.id, case when c.status = 'pending' then coalesce(l.outcome, c.status) else c.status end as status
         from candidates c left join latest l using (id)"""),
+    "json_types": (
+        lambda s, d: X.table(s, d, "events").select("event_id", T.merge_json_objects(
+            F.concat(F.lit('{"o":{"a":'), "event_id", F.lit('},"n":1,"x":null,"s":"1"}')),
+            F.expr("case when event_id % 3 = 0 then null when event_id % 3 = 1 then '{\"n\":2.5,\"s\":null,\"l\":[1,\"2\"]}' else 'no object' end")).alias("m")).select(
+            "event_id", *[F.schema_of_variant(F.try_variant_get(F.try_parse_json("m"), f"$.{k}", "variant")).alias(k) for k in "onxsl"],
+            F.get_json_object("m", "$.o.a").alias("a"), F.get_json_object("m", "$.n").alias("value")),
+        """select event_id, 'OBJECT<a: BIGINT>' as o, case when event_id % 3 = 1 then 'DECIMAL(2,1)' else 'BIGINT' end as n, 'VOID' as x,
+        case when event_id % 3 = 1 then 'VOID' else 'STRING' end as s, case when event_id % 3 = 1 then 'ARRAY<VARIANT>' end as l,
+        cast(event_id as varchar) as a, case when event_id % 3 = 1 then '2.5' else '1' end as value from events"""),
     "json_merge": (
         lambda s, d: X.table(s, d, "events").select("event_id", T.merge_json_objects(
             F.col("props"), F.to_json(F.struct(F.col("event_type").alias("kind"), F.when(F.col("event_id") % 2 == 0, "0").alias("k")))).alias("merged")).select(
             "event_id", F.get_json_object("merged", "$.k").alias("k"), F.get_json_object("merged", "$.kind").alias("kind")),
         """select event_id, case when event_id % 2 = 0 then '0' else props ->> '$.k' end as k, event_type as kind from events"""),
-    "random_sample": (lambda s, d: paging.random_sample(fac(s, d).filter("company_id is null"), 20, 7).select("id", "name"), None),
+    "random_sample": (
+        lambda s, d: paging.random_sample(fac(s, d).filter("company_id is null"), 20, 7).select("id", "name"),
+        f"with {FAC} select id, name from facilities where company_id is null order by md5('7:' || id), id limit 20"),
     # streams
     "stream_ingest": (
         stream_ingest,

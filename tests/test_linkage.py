@@ -76,31 +76,6 @@ def test_hot_registry_id(spark):
     assert components.connected_components(linkage.link_edges(found)).select("component").distinct().count() == 1
 
 
-def test_large_blocks_can_be_left_out(spark):
-    """The literal rule: a pair counts if it shares a block of at most ``max_block`` records."""
-    rows = records(200, 13, hot=True)
-    for r in rows[::10]:
-        r["raw_zip"] = "99901"
-    sizes = {}
-    area = lambda r: (r["raw_state"], (r["raw_zip"] or "000")[:3])
-    for r in rows:
-        for key in {area(r), (r["raw_state"], "reg", r["registry_id"])}:
-            sizes[key] = sizes.get(key, 0) + 1
-    by_id = {r["id"]: r for r in rows}
-    limit = 30
-    want = {}
-    for (i, j), score in brute.pairs(rows).items():
-        a, b = by_id[i], by_id[j]
-        shared = [area(a)] if area(a) == area(b) else []
-        if a["registry_id"] and a["registry_id"] == b["registry_id"]:
-            shared.append((a["raw_state"], "reg", a["registry_id"]))
-        if any(sizes[key] <= limit for key in shared):
-            want[i, j] = score
-    assert 0 < len(want) < len(brute.pairs(rows))
-    got = scored(spark, rows, MatchConfig(max_block=limit, skip_large_blocks=True))
-    assert {tuple(sorted(k)): v for k, v in got.items()} == want
-
-
 def test_new_records_meet_earlier_ones(spark):
     rows = records(160, 7)
     earlier, fresh = rows[:80], rows[80:]

@@ -2,6 +2,7 @@
 
 import json
 
+from siteweave.sources import common
 from siteweave.operators.companies import match_tickers
 from siteweave.sources import curated, federal
 
@@ -127,3 +128,13 @@ def test_file_order_over_many_files(spark, tmp_path):
         (tmp_path / f"p{i:02d}.json").write_text(json.dumps([{"tri_facility_id": "T1", "facility_name": f"N{i}"}]))
     (row,) = federal.read_tri(spark, str(tmp_path)).collect()
     assert row.raw_name == "N0"
+
+
+def test_csv_files_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text('activity_nr,estab_name\n1,"ACME ""X""\nPLANT"\n2,FOO\n')
+    (tmp_path / "c.csv").write_text("ESTAB_NAME,ACTIVITY_NR\nBAR,3\nBAZ\n")
+    rows = common.read_csv(spark, str(tmp_path))
+    name, number = (common.any_of(rows, n, n.upper()) for n in ("estab_name", "activity_nr"))
+    assert sorted(map(tuple, rows.select(name, number).collect()), key=str) == [('ACME "X"\nPLANT', "1"), ("BAR", "3"), ("BAZ", None), ("FOO", "2")]
+    counts = {r.file.rsplit("/", 1)[1]: r.malformed for r in common.malformed_rows(rows).collect()}
+    assert counts == {"a%20b.csv": 0, "c.csv": 1}
