@@ -41,7 +41,7 @@ select 'd' || lpad(cast(l_orderkey as string), 8, '0') || lpad(cast(l_linenumber
   'osha', cast(l_orderkey as string) || '-' || cast(l_linenumber as string),
   nm || ' ' || br || ' PLANT', cast(100 + k % 900 as string) || ' MAIN ST', 'Springfield ' || cast(k % 50 as string), st, zip, cast(null as string), cast(null as string), naics,
   cast(null as string), cast(null as string), cast(l_quantity as int), l_shipdate
-from {{lineitem}} join p on k = l_partkey where k % 7 = 0"""
+from {{lineitem}} join p on k = l_partkey"""
 
 FACILITIES = """
 with p as (

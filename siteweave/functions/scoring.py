@@ -22,10 +22,21 @@ class MatchConfig:
     registry_cross_state: bool = False
 
 
-def text_similarity(a: Column, b: Column) -> Column:
-    """Edit similarity of two upper-case texts; 0 when one is missing."""
+def text_similarity(a: Column, b: Column, least: Column | None = None) -> Column:
+    """Edit similarity of two upper-case texts; 0 when one is missing.
+
+    With ``least``, similarities below it may come out as 0: the distance is then only
+    followed as far as it matters.
+    """
     longest = F.greatest(F.length(a), F.length(b))
-    similar = round_half_up((F.lit(1.0) - F.levenshtein(a, b) / longest) * 100)
+    if least is None:
+        distance = F.levenshtein(a, b)
+    else:
+        # Rounding can lift a similarity by half a point.
+        most = F.floor((F.lit(100.5) - F.greatest(least, F.lit(0.0))) / 100 * longest) + 1
+        found = F.call_function("levenshtein", a, b, most.cast("int"))
+        distance = F.when(found < 0, longest).otherwise(found)
+    similar = round_half_up((F.lit(1.0) - distance / longest) * 100)
     return F.coalesce(F.when(a == b, 100).when(longest > 0, similar), F.lit(0))
 
 

@@ -270,7 +270,8 @@ def scored_pairs(folds: DataFrame, config: MatchConfig = MatchConfig()) -> DataF
     candidates = pairs.filter(apart & own_kind & reachable)
 
     address = scoring.address_score(a, b)
-    name = scoring.text_similarity(a("name"), b("name"))
+    others = scoring.weighted(F.lit(0.0), geo_score, address_bound, naics, w)
+    name = scoring.text_similarity(a("name"), b("name"), (F.lit(least) - others) / F.lit(w["name"]))
     scores = candidates.select(
         a("id").alias("record_a"),
         b("id").alias("record_b"),

@@ -38,15 +38,15 @@ def review_candidates(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("m"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("id"),
         F.coalesce(status, F.lit("pending")).alias("status"),
         F.col("value").cast("int").alias("confidence_score"),
-        F.concat(F.lit("a"), F.lpad((F.col("event_id") % 500).cast("string"), 8, "0")).alias("record_a"),
-        F.concat(F.lit("b"), F.lpad((F.col("user_id") % 500 * 3).cast("string"), 8, "0")).alias("record_b"),
+        F.concat(F.lit("a"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("record_a"),
+        F.concat(F.lit("b"), F.lpad((F.col("user_id") * 3).cast("string"), 8, "0")).alias("record_b"),
     )
 
 
 REVIEW = """candidates as (select 'm' || lpad(cast(event_id as varchar), 9, '0') as id,
   case when event_type in ('click', 'purchase') then 'confirmed' when event_type = 'error' then 'rejected' else 'pending' end as status,
-  cast(trunc(value) as int) as confidence_score, 'a' || lpad(cast(event_id % 500 as varchar), 8, '0') as record_a,
-  'b' || lpad(cast(user_id % 500 * 3 as varchar), 8, '0') as record_b from events)"""
+  cast(trunc(value) as int) as confidence_score, 'a' || lpad(cast(event_id as varchar), 8, '0') as record_a,
+  'b' || lpad(cast(user_id * 3 as varchar), 8, '0') as record_b from events)"""
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:

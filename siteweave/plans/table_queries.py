@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteweave import constants as K
@@ -29,6 +29,7 @@ from siteweave.plans.linkage_queries import FIELDS_SQL, RULES
 from siteweave.session import shared_folder
 from siteweave.sources import curated as SC
 from siteweave.sources import federal as SF
+from siteweave.sources.common import read_csv
 from siteweave.streaming import incremental as ST
 
 # --- source layouts derived from the given tables --------------------------------------------
@@ -201,6 +202,37 @@ def company_rules_many(s: SparkSession, d: str) -> DataFrame:
     return names.select("p_partkey", normalize_company(F.col("name"), many_rules(s, d)).alias("company"))
 
 
+def append_raw(s: SparkSession, d: str) -> DataFrame:
+    """Raw records stored in two appends, by source."""
+    folder = _stream_folder(s, "raw")
+    rows = raw(s, d)
+    for part in (0, 1):
+        S.append_raw(rows.filter(F.pmod(F.crc32("id"), F.lit(2)) == part), folder)
+    return s.read.parquet(folder).groupBy("source").agg(F.count("*").alias("records"), F.countDistinct("id").alias("ids"))
+
+
+def run_counters(s: SparkSession, d: str) -> DataFrame:
+    """The ledger row of a run that stores raw records, its counters taken while they are written."""
+    rows, seen = S.counted(raw(s, d), named=F.col("raw_name").isNotNull(), placed=F.col("raw_latitude").isNotNull(), stateless=F.col("raw_state").isNull())
+    S.append_raw(rows, _stream_folder(s, "run"))
+    ledger = S.run_ledger(s, "r1", "all", "completed", seen.get, ["one", "two"])
+    return ledger.select("id", "source", "status", "error_count", *[F.element_at("counts", F.lit(k)).alias(k) for k in ("rows", "named", "placed", "stateless")])
+
+
+def sorted_export(s: SparkSession, d: str) -> DataFrame:
+    """Golden rows exported in order and read back: rows of each file against the one before, and files against each other."""
+    folder = _stream_folder(s, "export")
+    S.write_sorted_csv(fac(s, d).select("id", "name", "state"), folder, ["name", "id"])
+    rows = read_csv(s, folder)
+    key = F.struct("name", "id")
+    before = F.lag(key).over(Window.partitionBy(F.col("ingest_seq.file")).orderBy("ingest_seq.block", "ingest_seq.row"))
+    files = rows.groupBy(F.col("ingest_seq.file").alias("file")).agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    last = F.lag("high").over(Window.partitionBy(F.lit(1)).orderBy("file"))
+    return rows.withColumn("bad", before > key).agg(F.count("*").alias("rows"), F.count_if("bad").alias("out_of_order")).join(
+        files.withColumn("bad", last > F.col("low")).agg(F.count_if("bad").alias("files_out_of_order"))
+    )
+
+
 def tickers(s: SparkSession, d: str) -> DataFrame:
     """Listing pages of two hundred rows, in the array-of-arrays layout."""
     rows = X.table(s, d, "part").select(
@@ -562,6 +594,13 @@ QUERIES = {
           nullif({O.strip(f"regexp_replace(upper(name), {O.quote('(?i)' + K.COMPANY_STRIP_PATTERN)}, '', 'g')")}, '')]) as form, unnest([1, 2, 3, 4]) as pos from companies)
         select id, arg_min(e.ticker, pos) as ticker, lpad(cast(arg_min(e.seq, pos) as varchar), 10, '0') as cik, 'NYSE' as exchange
         from o join k using (form) group by id"""),
+    "append_raw": (append_raw, f"with {RAW} select source, count(*) as records, count(distinct id) as ids from raw_records group by 1"),
+    "run_counters": (
+        run_counters,
+        f"""with {RAW} select 'r1' as id, 'all' as source, 'completed' as status, 2 as error_count, count(*) as rows,
+        count(raw_name) as named, count(raw_latitude) as placed, count(*) - count(raw_state) as stateless from raw_records"""),
+    "sorted_export": (
+        sorted_export, f"with {FAC} select count(*) as rows, 0 as out_of_order, 0 as files_out_of_order from facilities"),
     "ticker_write": (
         ticker_write,
         f"""with {COM}, t as (select p_partkey as seq, p_brand || ([' Inc', ', CORP.', ' Holdings', ''])[cast(p_partkey % 4 + 1 as int)] as name,
@@ -700,7 +739,7 @@ QUERIES = {
         select id, case when not coalesce(hit, false) then company_name end as company_name, case when not coalesce(hit, false) then company_id end as company_id from u"""),
     # companies
     "relink_companies": (
-        lambda s, d: C.relink(_equipment_names(s, d), com(s, d).limit(0), RULES)[0].groupBy("company_name").agg(
+        lambda s, d: C.relink(_equipment_names(s, d), com(s, d), RULES)[0].groupBy("company_name").agg(
             F.count("*").alias("facilities"), F.count("company_id").alias("linked")), _relink_sql()),
     "company_upsert": (
         lambda s, d: C.upsert_companies(com(s, d).filter("name > 'Brand#2'"), fac(s, d)).select("name", "status", "facility_count"),
