@@ -51,26 +51,32 @@ def sic_to_naics(c: Column) -> Column:
     return F.when(code.between(2000, 3999), lookup(K.SIC_GROUP_TO_NAICS, F.floor(code / 100).cast("string")))
 
 
+# Words of a food inspection activity and the code they stand for, first match wins.
+ACTIVITY_CODES = (
+    ("POULTRY", "311615"), ("SLAUGHTER", "311611"), ("PROCESSING|CURING|SAUSAGE", "311612"), ("RENDERING", "311613"),
+    ("EGG", "311999"),
+)
+ACTIVITY_DEFAULT_CODE = "311611"
+
+
 def activity_to_naics(activities: Column) -> Column:
-    """Food inspection activities to a code; the first test that holds wins."""
+    """Food inspection activities to a code."""
     text = F.upper(F.coalesce(activities, F.lit("")))
-    return (
-        F.when(text.contains("POULTRY"), "311615")
-        .when(text.contains("SLAUGHTER"), "311611")
-        .when(text.rlike("PROCESSING|CURING|SAUSAGE"), "311612")
-        .when(text.contains("RENDERING"), "311613")
-        .when(text.contains("EGG"), "311999")
-        .otherwise("311611")
-    )
+    tests = [F.when(text.rlike(words), code) for words, code in ACTIVITY_CODES]
+    return F.coalesce(*tests, F.lit(ACTIVITY_DEFAULT_CODE))
+
+
+# Size classes of an establishment.
+SIZE_CLASSES = ("Large", "Small", "Very Small")
 
 
 def size_category(size: Column) -> Column:
     text = F.lower(F.coalesce(size, F.lit("")))
     plain = ~text.contains("very")
     return (
-        F.when(text.contains("large") & plain, "Large")
-        .when(text.contains("small") & plain, "Small")
-        .when(text.rlike("very[ _]small"), "Very Small")
+        F.when(text.contains("large") & plain, SIZE_CLASSES[0])
+        .when(text.contains("small") & plain, SIZE_CLASSES[1])
+        .when(text.rlike("very[ _]small"), SIZE_CLASSES[2])
     )
 
 

@@ -106,14 +106,13 @@ def test_rules_from_table(spark):
 
 
 STUBS = [
-    "PROPERTY OWNER LLC", "1 COMMERCE DRIVE @ BARRINGTON BUSINESS CENTER", "3821 RIVER RD INC", "850 ASSOCIATES LLC",
-    "10218 TOLUCA LLC", "275 MATHILDA LLC-ICOP", "20X24 HOLDINGS LLC", "39TH LSD - CITY OF CHICAGO FLEET MGMT",
-    "38 CABOT BLVD GRAVEL DRIVEWAY", "1855 LLC", "34TH STREET LLC", "156TH COMMERCIAL AVENUE LLC",
-    "10/120 S RIVERSIDE PLAZA LLC", "(FORMER ROCKETDYNE)", "ACME FORMER", "ACME - COMPLAINT", "180TPH HMAP, GCP3-3857",
-    "151 TIRE SYSTEMS", "#411 - FOUNTAIN VALLEY", "011", "TX DOT", "713, INC", "KILN (RTO 1)", "COUNTY LANDFILL",
-    "ARKADELPHIA, CITY OF", "ARM TRUCKING", "X PEST CONTROL",
+    "ELM PROPERTY HOLDER", "77 QUARRY LANE @ NORTHGATE PARK", "4406 WILLOW ROAD DEPOT", "7710 WILLOW PROPERTIES",
+    "512 HARBOR VIEW LLC", "640 MERIDIAN INC-WEST", "12X30 LAKE HOLDINGS", "CITY OF DAYTON FLEET MGMT NORTH",
+    "OAK HILL GRAVEL PIT", "2044 LLC", "12TH STREET GARAGE", "7TH HARBOR AVENUE SHOP", "8/90 N LAKE TOWER LLC",
+    "(FORMER MILL SITE)", "OLD MILL FORMER", "OAK WORKS - INCIDENT", "220TPH PLANT", "#17 - OAK VALLEY", "042", "OH DOT",
+    "88, LTD", "STACK (BOILER 4)", "VALLEY LANDFILL", "DAYTON, TOWN OF", "OAK TRUCKING CO", "OAK TRUCK REPAIR",
 ]
-KEPT = ["95578 - CATERPILLAR INC", "100 MAIN ST LLC DBA ACME", "4 WAY ELECTRIC INC", "ACME STEEL WORKS", "", None]
+KEPT = ["40417 - OAK TOOL INC", "200 ELM ST LLC DBA OAK TOOL", "3 WAY VALVE INC", "OAK STEEL WORKS", "", None]
 
 
 def test_stubs(spark):
