@@ -235,7 +235,8 @@ def near_duplicates(
         .agg(F.min("first").alias("component_id"))
     )
     by_print = clusters.join(smallest, "component").select(F.col("id").alias("fp"), "component_id")
-    known = firsts.join(by_print, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # A table of its own, so that the last join reads two plain shuffles and Spark can split a hot fingerprint.
+    known = cut_lineage(firsts.join(by_print, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "simhash-ids")
     return prints.join(known, "fp", "left").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
