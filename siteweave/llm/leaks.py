@@ -36,7 +36,7 @@ from siteweave.llm.common import ship, slices
 WINDOW = 13
 MIN_WORDS = 5
 #: Words whose numbers a task keeps; it starts anew when full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 # Word places of the masks, by the smallest window that they leave
 # no case out of. Found by search; tests/llm tries all cases.

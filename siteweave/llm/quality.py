@@ -42,7 +42,7 @@ PLACES = 6
 #: Neighbours on each side.
 WINDOW = 2
 #: Words whose place a task keeps; it starts anew when full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 #: Stands for a word that repeats the one before it, and for no word.
 AGAIN, NONE = "<again>", "<none>"
