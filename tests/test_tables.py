@@ -198,6 +198,7 @@ def test_stream_match_and_merge(spark, tmp_path):
     pairs = lambda *found: sorted(tuple(sorted((r.record_a, r.record_b))) for r in linkage.expand(*found).collect())
     assert pairs(linkage.Candidates(table("pairs"), table("members")), ("batch",)) == pairs(linkage.match(raw))
     lineage, facilities = (incremental.current_state(spark, state, name) for name in ("lineage", "facilities"))
-    assert lineage.count() == lineage.select("raw_record_id").distinct().count() == raw.count()
+    # The given table repeats a line, so two records share an id.
+    assert lineage.count() == lineage.select("raw_record_id").distinct().count() == raw.select("id").distinct().count()
     assert {r.id for r in facilities.collect()} == {r.facility_id for r in lineage.collect()}
     assert [r.counts["records"] for r in table("ledger").orderBy("batch").collect()] == [r["count"] for r in table("records").groupBy("batch").count().orderBy("batch").collect()]
