@@ -52,7 +52,7 @@ ENDS_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thea
 BARRIERS = frozenset("table td th button".split())
 
 # What tells boilerplate.
-BOILERPLATE_TAGS = frozenset("nav aside footer form menu button select dialog head object canvas audio video".split())
+BOILERPLATE_TAGS = frozenset("nav aside footer menu button select dialog head object canvas audio video".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
@@ -70,10 +70,10 @@ WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "skip", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "skip", "marked", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, skip: bool):
-        self.tag, self.parent, self.skip = tag, parent, skip
+        self.tag, self.parent, self.skip, self.marked = tag, parent, skip, False
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -94,11 +94,21 @@ def is_boilerplate(tag: str, attributes: str, parent: Node) -> bool:
         elif name == "aria-hidden":
             if value == "true":
                 return True
-        elif name in ("class", "id") and not BOILERPLATE_WORDS.isdisjoint(WORDS.findall(value)):
-            return True
     return False
 
 
+def is_marked(tag: str, attributes: str) -> bool:
+    """True for forms and for class and id words of boilerplate, which wrappers of whole pages have too."""
+    if tag == "form":
+        return True
+    if tag in ("body", "html", "article", "main") or "=" not in attributes:
+        return False
+    return any(
+        name.lower() in ("class", "id") and not BOILERPLATE_WORDS.isdisjoint(WORDS.findall((a or b or c).lower()))
+        for name, a, b, c in ATTRIBUTE.findall(attributes)
+    )
+
+
 def within(node: Node | None, tags: frozenset) -> bool:
     while node is not None:
         if node.tag in tags:
@@ -148,13 +158,47 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         if name in ENDS:
             here = closed(here, *ENDS[name])
         node = Node(name, here, here.skip or is_boilerplate(name, rest, here))
+        node.marked = is_marked(name, rest)
         here.children.append(node)
         nodes.append(node)
         if name not in VOID:
             here = node
+    drop_marked(nodes)
     return root, nodes
 
 
+def drop_marked(nodes: list[Node]) -> None:
+    """Marked subtrees become boilerplate, unless they wrap the page: those with most of its characters outside links, or its article."""
+    if not any(n.marked for n in nodes):
+        return
+    plain: dict[int, int] = {}
+    under: set[int] = set()
+    free = 0
+    for node in nodes:
+        own = sum(len(" ".join(c.split())) for c in node.children if type(c) is str)
+        plain[id(node)] = own
+        if node.marked or id(node.parent) in under:
+            under.add(id(node))
+        elif not within(node, ("a",)) if own else False:
+            free += own
+    for node in reversed(nodes):
+        if node.skip or node.tag == "a":
+            plain[id(node)] = 0
+        if node.parent is not None:
+            plain[id(node.parent)] += plain[id(node)]
+    wraps: set[int] = set()
+    main = max((n for n in nodes if n.tag in MAIN_TAGS and not n.skip), key=lambda n: plain[id(n)], default=None)
+    if main is not None and (main.tag == "main" or plain[id(main)] >= free):
+        node = main
+        while node is not None:
+            wraps.add(id(node))
+            node = node.parent
+    most = plain[id(nodes[0])]
+    for node in nodes[1:]:
+        if node.parent.skip or (node.marked and id(node) not in wraps and 2 * plain[id(node)] <= most):
+            node.skip = True
+
+
 def text(node: Node, raw: str) -> None:
     if not node.skip:
         node.children.append(unescape(raw) if "&" in raw else raw)

@@ -78,3 +78,13 @@ def test_table_of_odd_rows(frame, compare):
     got = html.extract(frame(rows, "page_id long, url string, html string, text string")).collect()
     compare(got, [(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0), (2, None, "", 0)])
     assert html.extract(frame([], "page_id long, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize(
+    "start, end",
+    [("<div class='layout has-sidebar'>", "</div>"), ("<div class=no-comments>", "</div>"), ("<div id='menu-open'><div class='widget-content'>", "</div></div>"), ("<form action=x>", "</form>")],
+)
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_marked_wrappers_keep_the_article(start, end, tag):
+    page = f"<body>{start}<div class=sidebar>side words</div><{tag}><h2>Title</h2><p>{LONG}</p><p>{LONG}</p></{tag}>{end}</body>"
+    assert html.main_text(page) == f"Title\n{LONG.strip()}\n{LONG.strip()}"
