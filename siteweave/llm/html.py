@@ -3,14 +3,16 @@
 For every node of a page's tree the composite density is its characters per
 tag, weighted down by the share of link characters and link tags. A node's
 density sum adds up its children's densities; the node of the largest sum holds
-the article. If it lies in an ``article`` or ``main`` element, that element is
-the article; else the lowest density on the path from the body to that node is
+the article. The lowest density on the path from the body to that node is
 the threshold, and every further subtree that reaches it, and is no boilerplate,
-joins in page order.
+joins in page order, and so does loose text of the nodes on the path. If the node
+lies in ``article`` or ``main`` elements, the outermost of these is the article, and
+only further ``article`` and ``main`` elements join.
 
 Boilerplate elements (menus, page headers, footers, sidebars, notices, adverts,
 forms, reader comments) are known by tag, role and class words and are left out
-before densities are taken, and so are scripts, styles and markup.
+before densities are taken, and so are scripts, styles and markup. Forms and class
+words do not count on elements that wrap most of the page's text or its article.
 
 Defined results: null and empty pages, and pages without text, give an empty
 text; markup that ends early counts as ended there; repeated rows get repeated
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
-from math import e, log
+from math import e, inf, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +33,7 @@ from siteweave.llm.common import ship, slices
 
 # Element names of the HTML standard, by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes template svg annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead "
@@ -258,27 +260,53 @@ def chosen(nodes: list[Node]) -> list[Node]:
     main = None
     while node is not None:
         path.append(node)
-        if main is None and node.tag in MAIN_TAGS:
+        if node.tag in MAIN_TAGS:
             main = node
         node = node.parent
-    if main is not None:
-        return [main]
     threshold = min(n.density for n in path)
+    if main is not None:
+        best = main
     on_path, out = set(map(id, path)), []
 
     def visit(node: Node) -> None:
         stack = [node]
         while stack:
             node = stack.pop()
-            if node is best or (id(node) not in on_path and not node.skip and node.density >= threshold):
+            if node is best or (id(node) not in on_path and not node.skip and node.density >= threshold and (main is None or node.tag in MAIN_TAGS)):
                 out.append(node)
                 continue
-            stack.extend(c for c in reversed(node.children) if type(c) is not str)
+            inside = with_loose_text(node) if main is None and id(node) in on_path else node.children
+            stack.extend(c for c in reversed(inside) if type(c) is not str)
 
     visit(body)
     return out
 
 
+def with_loose_text(node: Node) -> list[Node | str]:
+    """A path node's children, where text that stands in the node itself, with the inline elements around it, is a node of its own."""
+    out: list[Node | str] = []
+    run: list[Node | str] = []
+
+    def end() -> None:
+        loose = sum(len(" ".join(c.split())) for c in run if type(c) is str)
+        if loose > sum(c.link_chars for c in run if type(c) is not str):
+            one = Node("p", None, False)
+            one.children, one.density = list(run), inf
+            out.append(one)
+        else:
+            out.extend(run)
+        run.clear()
+
+    for child in node.children:
+        if type(child) is str or (child.tag not in BLOCK and not child.skip and child.total == 0):
+            run.append(child)
+        else:
+            end()
+            out.append(child)
+    end()
+    return out
+
+
 def blocks(root: Node) -> list[str]:
     """The texts of a subtree's blocks; ``br`` is white space."""
     out: list[str] = []

@@ -88,3 +88,17 @@ def test_table_of_odd_rows(frame, compare):
 def test_marked_wrappers_keep_the_article(start, end, tag):
     page = f"<body>{start}<div class=sidebar>side words</div><{tag}><h2>Title</h2><p>{LONG}</p><p>{LONG}</p></{tag}>{end}</body>"
     assert html.main_text(page) == f"Title\n{LONG.strip()}\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        (f"<main><article><p>{LONG}<p>{LONG}</article><article><p>part two</article></main>", [LONG, LONG, "part two"]),
+        (f"<main><article><p>{LONG}<p>{LONG}</article><section>rest</section></main>", [LONG, LONG, "rest"]),
+        (f"<div><article><p>{LONG}<p>{LONG}</article><article><p>{LONG}{LONG}<p>{LONG}</article></div>", [LONG, LONG, LONG + LONG, LONG]),
+        (f"<body>Intro <b>bold</b> text<div><p>{LONG}</p><p>{LONG}</p></div></body>", ["Intro bold text", LONG, LONG]),
+        (f"<article><p>{LONG}<p>so <math><mi>x</mi></math> is <noscript>y</noscript></article>", [LONG, "so x is y"]),
+    ],
+)
+def test_no_part_of_the_article_is_lost(page, expected):
+    assert html.main_text(page) == "\n".join(e.strip() for e in expected)
