@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm import bpe, html, langid, leaks, lines, quality, shards, simhash, topk, urls
+from siteweave.llm import bpe, html, langid, leaks, lines, merkle, quality, shards, simhash, topk, urls
 from siteweave.llm.common import table
 
 
@@ -136,6 +136,64 @@ select d.doc_id, count(l.item_id) > 0 as contaminated, coalesce(string_agg(cast(
 from d left join leak l using (doc_id) group by d.doc_id
 """
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.verified_manifest(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+OP11_SQL = """
+with recursive marked as (
+  select *, replace(text, chr(10), '') as flat,
+    xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::ubigint)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::ubigint[]),
+        lambda x, y: case when x % 2 = 1 then xor(x // 2, 3988292384::ubigint) else x // 2 end)), 4294967295::ubigint) % 2 = 0 as chosen
+  from documents),
+hashed as (
+  select doc_id, source,
+    case when doc_id is null then '-' else strlen(cast(doc_id as varchar)) || ':' || doc_id end
+      || case when source is null then '-' else strlen(source) || ':' || source end
+      || case when lang is null then '-' else strlen(lang) || ':' || lang end
+      || case when n_chars is null then '-' else strlen(cast(n_chars as varchar)) || ':' || n_chars end as head,
+    case when text is null then '-' else strlen(text) || ':' || text end as body,
+    case when text is null then '-' when chosen then strlen(flat) || ':' || flat else strlen(text) || ':' || text end as other
+  from marked),
+leaves as (
+  select doc_id, coalesce('=' || source, '') as s, sha256(head || body) as leaf, sha256(head || other) as other from hashed),
+placed as (
+  select *, row_number() over (partition by s order by doc_id nulls first, leaf) - 1 as r, count(*) over (partition by s) as n from leaves),
+nodes as (
+  select 0 as level, s, r as i, n, leaf as digest from placed
+  union all
+  select level + 1, s, i // 3, (n + 2) // 3, sha256(string_agg(digest, '' order by i)) from nodes where n > 1 group by level, s, i // 3, n),
+subroots as (select s, digest, row_number() over (order by encode(s)) - 1 as i, count(*) over () as n from nodes where n = 1),
+tops as (
+  select 0 as level, '' as s, i, n, digest from subroots
+  union all
+  select level + 1, s, i // 3, (n + 2) // 3, sha256(string_agg(digest, '' order by i)) from tops where n > 1 group by level, s, i // 3, n),
+kin as (
+  select false as top, a.level, a.s, a.i, coalesce(string_agg(b.digest, '' order by b.i) filter (b.i < a.i), '') as l,
+    coalesce(string_agg(b.digest, '' order by b.i) filter (b.i > a.i), '') as r
+  from nodes a join nodes b on a.level = b.level and a.s = b.s and a.i // 3 = b.i // 3 where a.n > 1 group by all
+  union all
+  select true, a.level, a.s, a.i, coalesce(string_agg(b.digest, '' order by b.i) filter (b.i < a.i), ''),
+    coalesce(string_agg(b.digest, '' order by b.i) filter (b.i > a.i), '')
+  from tops a join tops b on a.level = b.level and a.i // 3 = b.i // 3 where a.n > 1 group by all),
+inside as (
+  select s, r as id, 0 as level, r as i, leaf, other as cur, '' as proof, doc_id from placed
+  union all
+  select f.s, f.id, f.level + 1, f.i // 3, f.leaf, sha256(k.l || f.cur || k.r), f.proof || k.l || k.r, f.doc_id
+  from inside f join kin k on not k.top and k.level = f.level and k.s = f.s and k.i = f.i),
+climbed as (select * from inside qualify level = max(level) over (partition by s)),
+above as (
+  select c.s, c.id, 0 as level, t.i, c.leaf, c.cur, c.proof, c.doc_id, t.digest as subroot from climbed c join subroots t using (s)
+  union all
+  select f.s, f.id, f.level + 1, f.i // 3, f.leaf, sha256(k.l || f.cur || k.r), f.proof || k.l || k.r, f.doc_id, f.subroot
+  from above f join kin k on k.top and k.level = f.level and k.i = f.i)
+select a.doc_id, a.leaf, a.subroot, t.digest as root, sha256(a.proof) as proof_sha256, a.cur as folded_root, a.cur = t.digest as verified
+from above a join tops t on t.n = 1
+qualify a.level = max(a.level) over ()
+"""
+
 #: name: (query, SQL or None). Without SQL the query is tested against brute force in tests/llm.
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
@@ -148,4 +206,5 @@ QUERIES = {
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
     "op9_main_text": (op9_main_text, None),
     "op10_benchmark_leaks": (op10_benchmark_leaks, OP10_SQL),
+    "op11_merkle_manifest": (op11_merkle_manifest, OP11_SQL),
 }
