@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm import bpe, html, langid, leaks, lines, merkle, quality, shards, simhash, topk, urls
+from siteweave.llm import bpe, html, langid, leaks, lines, merkle, prefixes, quality, shards, simhash, spelling, topk, urls
 from siteweave.llm.common import table
 
 
@@ -194,6 +194,50 @@ from above a join tops t on t.n = 1
 qualify a.level = max(a.level) over ()
 """
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.token_counts(prefixes.prefix_table(table(spark, sf_dir, "documents")), limit=2048)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+with recursive found as (
+  select coalesce(cast(doc_id as varchar), '') as id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')) as run from documents),
+lowered as (
+  select id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n from found group by all),
+hashed as (
+  select run, n, xor(list_reduce(
+      list_prepend(4294967295::ubigint, flatten(list_transform(string_split(id || ':' || run, ''),
+        lambda c: case when unicode(c) < 128 then [unicode(c)] else [192 + unicode(c) // 64, 128 + unicode(c) % 64] end))::ubigint[]),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::ubigint[]),
+        lambda x, y: case when x % 2 = 1 then xor(x // 2, 3988292384::ubigint) else x // 2 end)), 4294967295::ubigint) as h
+  from lowered),
+spelt as (
+  select case when h % 31 = 0 then substr(run, 1, cast(h % length(run) as bigint)) || substr(run, cast(h % length(run) as bigint) + 2) else run end as word, n from hashed),
+words as materialized (select word, cast(sum(n) as bigint) as n from spelt where length(word) >= 7 group by word having sum(n) >= 2),
+places as materialized (
+  select word, n, i, substr(word, 1, i - 1) as head, substr(word, i + 1) as tail
+  from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+near as materialized (
+  select a.word, b.word as other, b.n as m from places a join places b on a.i = b.i and a.head = b.head and a.tail = b.tail and a.word <> b.word
+  union select p.word, w.word, w.n from places p join words w on p.head || p.tail = w.word
+  union select w.word, p.word, p.n from places p join words w on p.head || p.tail = w.word),
+best as (
+  select word, count(*) as n_near, max(m) as m, min(other) filter (m = top) as other
+  from (select *, max(m) over (partition by word) as top from near) group by word),
+forms as materialized (
+  select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when b.m >= 10 * w.n then b.other end as form, case when b.m >= 10 * w.n then b.m end as form_n
+  from words w left join best b using (word)),
+chain as (
+  select word, word as root, 0 as steps from forms
+  union all
+  select c.word, f.form, steps + 1 from chain c join forms f on f.word = c.root where f.form is not null),
+last as (select word, max_by(root, steps) as root from chain group by word)
+select word, form, root, n, n_near, form_n from forms join last using (word)
+"""
+
 #: name: (query, SQL or None). Without SQL the query is tested against brute force in tests/llm.
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
@@ -207,4 +251,6 @@ QUERIES = {
     "op9_main_text": (op9_main_text, None),
     "op10_benchmark_leaks": (op10_benchmark_leaks, OP10_SQL),
     "op11_merkle_manifest": (op11_merkle_manifest, OP11_SQL),
+    "op12_token_counts": (op12_token_counts, None),
+    "op13_spelling_variants": (op13_spelling_variants, OP13_SQL),
 }
