@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteweave.llm.common import ship, slices
+from siteweave.llm.common import ship, slices, unused
 
 WINDOW = 13
 MIN_WORDS = 5
@@ -206,5 +206,6 @@ def item_list(leaks: str | Column) -> Column:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents, with their columns, that hold no leak."""
-    return find_leaks(docs, benchmark, into="_leaks", **options).filter(F.size("_leaks") == 0).drop("_leaks")
+    """The documents, with their columns whatever their names, that hold no leak."""
+    into = unused("leaks", docs.columns)
+    return find_leaks(docs, benchmark, into=into, **options).filter(F.size(into) == 0).drop(into)

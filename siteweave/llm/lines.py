@@ -38,7 +38,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteweave.llm.common import hinted
+from siteweave.llm.common import hinted, unused
 from siteweave.session import cut_lineage
 
 MIN_WORDS = 5
@@ -222,17 +222,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with their columns, the text without its removed lines, and a column ``lines_removed`` set last.
 
-    A column of that name in ``docs`` is replaced.
+    A column of that name in ``docs`` is replaced; others pass through whatever their names are.
     """
-    gone = removed_lines(docs, id_col, text_col, min_words).withColumnsRenamed({"id": "_gone_id", "mark": "_gone_mark", "gone": "_gone"})
+    own_id, own_mark, own = (unused(c, [*docs.columns, "id", "mark", "gone"]) for c in ("gone_id", "gone_mark", "gone_lines"))
+    mark = unused("mark", docs.columns)
+    gone = removed_lines(docs, id_col, text_col, min_words).withColumnsRenamed({"id": own_id, "mark": own_mark, "gone": own})
     # The lines are cut before the join, so that no later expression cuts them again for every line.
-    cut = docs.withColumns({"_mark": F.xxhash64(text_col), text_col: F.split(text_col, "\n")})
-    joined = cut.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_mark") == F.col("_gone_mark")), "left")
+    cut = docs.withColumns({mark: F.xxhash64(text_col), text_col: F.split(text_col, "\n")})
+    joined = cut.join(gone, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(mark) == F.col(own_mark)), "left")
     lines = F.col(text_col)
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own))
     kept = F.transform(numbers, lambda n: F.element_at(lines, n + 1))
-    text = F.array_join(F.when(F.col("_gone").isNull(), lines).otherwise(kept), "\n")
+    text = F.array_join(F.when(F.col(own).isNull(), lines).otherwise(kept), "\n")
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "lines_removed"],
-        F.coalesce(F.size("_gone"), F.lit(0)).alias("lines_removed"),
+        F.coalesce(F.size(own), F.lit(0)).alias("lines_removed"),
     )

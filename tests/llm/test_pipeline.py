@@ -7,7 +7,7 @@ from siteweave.llm import leaks
 
 from .test_lines import plain as plain_lines
 from .test_leaks import plain as plain_leaks
-from .test_simhash import components, plain_fingerprint
+from .test_similar import plain_groups
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -50,7 +50,7 @@ def test_near_stage_keeps_one_of_each_group(spark, frame):
     rows += [rows[5], (rows[5][0], rows[5][1], "de", "s", 1), (None, sentence(draw), "en", "s", 1), (20, "other text under the same id now", "en", "s", 1)]
     got = stage("near_dedup")(spark, frame(rows, SCHEMA), "").collect()
     unique = sorted({(i, t) for i, t, *_ in rows}, key=lambda r: (r[0] is not None, r[0] or 0, str(r[1])))
-    roots = components([plain_fingerprint(t) for _, t in unique], list(range(len(unique))), 3)
+    roots = plain_groups([t for _, t in unique])
     # One document of each group, of the smallest id.
     groups = {}
     for (i, t), root in zip(unique, roots):
@@ -90,3 +90,15 @@ def test_empty_documents(spark, frame):
     for _, run in corpus_pipeline.STAGES:
         docs = run(spark, docs, folder)
     assert docs.collect() == []
+
+
+def test_clashing_names_pass_through(spark, frame, compare):
+    folder = "/root/testdata/sf0.001"
+    schema = SCHEMA + ", _mark string, mark string, gone string, _gone string, _leaks string, leaks string, lines_gone int"
+    draw = random.Random(8)
+    shared = sentence(draw)
+    rows = [(i, f"{sentence(draw)}\n{shared}", "en", "s", 1, "m", "n", "g", "h", "l", "k", i) for i in range(5)]
+    for name in ("line_dedup", "decontaminate"):
+        got = stage(name)(spark, frame(rows, schema), folder)
+        assert got.schema == frame(rows, schema).schema
+        compare([r[5:] for r in got.collect()], [r[5:] for r in rows])
