@@ -45,7 +45,7 @@ from siteweave.llm.bpe import Bpe, loaded, plain, read_vocabulary
 from siteweave.llm.common import ship, tokenizer_file
 
 #: Words and clusters that a task remembers; it starts anew when full.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Bytes of words that are remembered.
 SHORT = 64
 #: Units whose rows are computed together, and the slots for pairs of tokens, as a power of 2.
