@@ -8,6 +8,8 @@ no more than its rows. Each round is written to the shared folder, which cuts it
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -68,3 +70,41 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
             return members.unionByName(roots)
         seen = digest
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+@dataclass(frozen=True)
+class Growth:
+    """What new edges change in a table of components.
+
+    ``contracted`` (id, component): the components that the edges touch, by their old
+    names and the nodes that are new. ``nodes`` (id, component): the new nodes.
+    ``renamed`` (component, into): the old components that went into another.
+    """
+
+    contracted: DataFrame
+    nodes: DataFrame
+    renamed: DataFrame
+
+
+def grow(edges: DataFrame, known: DataFrame) -> Growth:
+    """Adds edges (src, dst) to components that are known.
+
+    ``known`` (id, component) must hold the nodes of the edges that have a component, and need hold
+    no others: ends of edges are replaced by their components, and the small graph
+    between these and the new nodes is contracted. A component's name stays the smallest
+    of all its ids, so that edges in any order give the components of one run.
+    """
+    edges = cut_lineage(edges.select("src", "dst").filter("src <> dst").distinct(), "grow-edges")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    names = cut_lineage(ends.join(known.select("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("name"), F.col("component").isNull().alias("new")), "grow-names")
+    mapped = edges
+    for end in ("src", "dst"):
+        mapped = mapped.join(names.select(F.col("id").alias(end), F.col("name").alias(f"{end}_name")), end)
+    between = connected_components(mapped.select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst")))
+    # A component all of whose new edges lie inside it is touched, but has no edge left.
+    touched = names.select(F.col("name").alias("id")).distinct()
+    contracted = cut_lineage(touched.join(between, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "grow-contracted")
+    new = names.filter("new").select("id")
+    nodes = contracted.join(new, "id")
+    renamed = contracted.join(new, "id", "left_anti").filter("id <> component").select(F.col("id").alias("component"), F.col("component").alias("into"))
+    return Growth(contracted, nodes, renamed)

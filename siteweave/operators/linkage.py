@@ -127,7 +127,7 @@ def fold_by_registry(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return present.groupBy("source", "fresh", *keys).agg(F.min("id").alias("id"), F.count("*").alias("n"))
 
 
-def _registry_keys(config: MatchConfig) -> tuple[str, ...]:
+def registry_keys(config: MatchConfig) -> tuple[str, ...]:
     return ("registry_id",) if config.registry_cross_state else ("state", "registry_id")
 
 
@@ -303,7 +303,7 @@ def registry_pairs(
 
     One row per pair of sources, however many records share the id.
     """
-    keys = list(within or _registry_keys(config))
+    keys = list(within or registry_keys(config))
     folds = fold_by_registry(rows, tuple(keys))
     shown = ("id", "source", "n", "fresh")
     a = folds.select(*keys, *[F.col(c).alias(f"a_{c}") for c in shown])
@@ -341,8 +341,13 @@ def match(raw: DataFrame, config: MatchConfig = MatchConfig(), earlier: DataFram
     rows = prepared(raw, config)
     if earlier is not None:
         rows = rows.unionByName(_reachable(prepared(earlier, config, fresh=False), rows, config))
+    return match_prepared(rows, config)
+
+
+def match_prepared(rows: DataFrame, config: MatchConfig = MatchConfig()) -> Candidates:
+    """``match`` for ``prepared`` rows, of which the pairs of two rows that are not fresh are left out."""
     rows = cut_lineage(rows)
-    registry = _registry_keys(config)
+    registry = registry_keys(config)
     folds = cut_lineage(fold_by_fields(rows))
     pairs = scored_pairs(folds, config).unionByName(registry_pairs(rows, config, registry))
     members = _field_members(rows).unionByName(_registry_members(rows, registry))
@@ -353,7 +358,7 @@ def match(raw: DataFrame, config: MatchConfig = MatchConfig(), earlier: DataFram
 def _reachable(known: DataFrame, fresh: DataFrame, config: MatchConfig) -> DataFrame:
     """Earlier records that share an area or a registry id with a fresh one."""
     by_area = known.join(fresh.select("state", "area").distinct(), ["state", "area"], "left_semi")
-    keys = list(_registry_keys(config))
+    keys = list(registry_keys(config))
     by_registry = known.join(fresh.select(*keys).distinct(), keys, "left_semi")
     return by_area.unionByName(by_registry).dropDuplicates(["id"])
 

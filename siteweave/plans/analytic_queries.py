@@ -260,15 +260,17 @@ QUERIES = {
         count(*) filter (where status = 'confirmed') as confirmed, count(*) filter (where status = 'rejected') as rejected from candidates"""),
     "review_page": (
         lambda s, d: P.review_page(review_candidates(s, d), raw(s, d), "pending", 50, "90:m000009000"),
-        f"""with {REVIEW}, {RAW}, p as (select * from candidates where status = 'pending'
-        and (confidence_score, id) < (90, 'm000009000') order by confidence_score desc, id desc limit 50)
-        select p.*, (select count(*) from candidates where status = 'pending' and (confidence_score, id) < (90, 'm000009000')) > 50 as has_more,
+        f"""with {REVIEW}, {RAW}, open as materialized (select * from candidates where status = 'pending'
+        and (confidence_score < 90 or (confidence_score = 90 and id < 'm000009000')) order by confidence_score desc, id desc limit 51),
+        p as materialized (select * from open order by confidence_score desc, id desc limit 50),
+        shown as materialized (select * from raw_records where id in (select record_a from p union all select record_b from p))
+        select p.*, (select count(*) from open) > 50 as has_more,
         confidence_score || ':' || p.id as cursor,
         a.source as a_source, a.raw_name as a_name, a.raw_address as a_address, a.raw_city as a_city, a.raw_state as a_state,
         a.raw_zip as a_zip, a.raw_naics_code as a_naics_code, a.registry_id as a_registry_id,
         b.source as b_source, b.raw_name as b_name, b.raw_address as b_address, b.raw_city as b_city, b.raw_state as b_state,
         b.raw_zip as b_zip, b.raw_naics_code as b_naics_code, b.registry_id as b_registry_id
-        from p left join raw_records a on a.id = p.record_a left join raw_records b on b.id = p.record_b"""),
+        from p left join shown a on a.id = p.record_a left join shown b on b.id = p.record_b"""),
     "facility_page": (
         lambda s, d: P.facility_page(fac(s, d), FacilityFilter(search="metals", min_sources=2).condition(), 50, "95:f00000900").select(
             "id", "name", "confidence", "has_more", "cursor"),

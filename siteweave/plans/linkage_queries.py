@@ -190,14 +190,14 @@ def candidate_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_match_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """All inspections in three micro-batches, so that copies fall into different ones: the record pairs behind the
+    """All inspections in five micro-batches, so that copies fall into different ones: the record pairs behind the
     stored folds, and whether merged pairs ended in one golden row."""
     raw = X.derive(spark, sf, X.RAW_RECORDS)
     folder = f"{shared_folder(spark).rstrip('/')}/stream-match-{uuid.uuid4().hex}"
-    for i in range(3):
-        raw.filter(F.pmod(F.crc32("id"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    for i in range(5):
+        raw.filter(F.pmod(F.crc32("id"), F.lit(5)) == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    match_stream(stream, f"{folder}/state", f"{folder}/progress").awaitTermination()
+    match_stream(stream, f"{folder}/state", f"{folder}/progress", buckets=8).awaitTermination()
     pairs, members = (spark.read.parquet(f"{folder}/state/{name}") for name in ("pairs", "members"))
     edges = current_state(spark, f"{folder}/state", "lineage").select("raw_record_id", "facility_id")
     tagged = linkage.expand(linkage.Candidates(pairs, members), ("batch",)).select(
@@ -332,8 +332,10 @@ QUERIES = {
           where x.state = a.state and x.block = a.block) as cross_source_pairs from keys a group by a.state, a.block"""),
     "registry_pairs": (
         registry_pairs,
-        f"""with {O.prepared_cte()} select a.id as record_a, b.id as record_b, a.state, 99 as confidence_score,
-        'frs_id' as match_type from prepared a join prepared b on a.state = b.state and a.registry_id = b.registry_id
+        f"""with {O.linkable_cte()}, listed as materialized (
+          select id, source, raw_state as state, registry_id from linkable where registry_id is not null and raw_state is not null)
+        select a.id as record_a, b.id as record_b, a.state, 99 as confidence_score,
+        'frs_id' as match_type from listed a join listed b on a.state = b.state and a.registry_id = b.registry_id
         and a.id < b.id and a.source <> b.source"""),
     "registry_pairs_any_state": (
         registry_pairs_any_state,

@@ -188,14 +188,17 @@ def candidates_cte(rows: str = "linkable") -> str:
         f"cast(floor(({similarity('a.street', 'b.street')}) * 0.3::double + 0.5::double) as int) else 0 end"
     )
     zips = "case when a.zip5 = b.zip5 then 30 when left(a.zip5, 3) = left(b.zip5, 3) then 15 else 0 end"
-    return f"""{prepared_cte(rows)}, pairs as (
-  select a.id as a_id, b.id as b_id, a.source as a_source, b.source as b_source, a.state, a.fold as a_fold, b.fold as b_fold,
+    scores = f"""a.id as a_id, b.id as b_id, a.source as a_source, b.source as b_source, a.state, a.fold as a_fold, b.fold as b_fold,
     a.registry_fold as a_reg, b.registry_fold as b_reg,
     {similarity('a.name', 'b.name')} as name_score, {proximity('a.lat', 'a.lng', 'b.lat', 'b.lng')} as geo_score,
     least(100, {street} + case when a.city = b.city then 30 else 0 end + {zips}) as address_score, {naics} as naics_score,
-    coalesce(a.registry_id = b.registry_id, false) as registered
-  from prepared a join prepared b on a.state = b.state and a.id < b.id and a.source <> b.source
-    and (a.area = b.area or a.registry_id = b.registry_id)),
+    coalesce(a.registry_id = b.registry_id, false) as registered"""
+    return f"""{prepared_cte(rows)}, compared as materialized (select * from prepared where state is not null),
+pairs as (
+  select {scores}
+  from compared a join compared b on a.state = b.state and a.area = b.area and a.id < b.id and a.source <> b.source
+  union all select {scores}
+  from compared a join compared b on a.state = b.state and a.registry_id = b.registry_id and a.area <> b.area and a.id < b.id and a.source <> b.source),
 scored as (select *, cast(floor(name_score * 0.35::double + geo_score * 0.30::double + address_score * 0.20::double
     + naics_score * 0.15::double + 0.5::double) as int) as composite from pairs),
 matched as (
