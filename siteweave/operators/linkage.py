@@ -10,7 +10,8 @@ pairs are never listed:
   become join keys: the street, the city with an industry prefix, the postal code
   with an industry code, or a 5 km grid cell. Each pair is found under exactly one
   of them, so the union needs no de-duplication.
-* Keys that are still large are cut into a grid of tasks on both sides.
+* Of keys that are still large, only rows meet whose names can be alike enough: the names are joined
+  on shared segments. Grid cells, where names need not be alike, are cut into a grid of tasks on both sides.
 
 The result equals comparing all pairs of every block.
 """
@@ -31,6 +32,7 @@ from siteweave.functions.text import (
     blank_to_null, leading_number, normalize_address, normalize_city, normalize_zip, round_half_up, starts, strip,
     zip_prefix,
 )
+from siteweave.operators import segments
 from siteweave.session import cut_lineage
 
 AREA = ("state", "area")
@@ -201,25 +203,75 @@ def _keyed(folds: DataFrame, config: MatchConfig, side: str) -> DataFrame:
 
 
 JOIN_KEYS = ("state", "area", "key")
+#: Keyed rows for each task of the join.
+ROWS_PER_TASK = 20_000
 
 
-def _split_large(left: DataFrame, right: DataFrame, config: MatchConfig) -> tuple[DataFrame, DataFrame]:
-    """Cuts keys above ``max_block`` into a grid: each side keeps one part and is copied along the other.
+def name_losses(config: MatchConfig) -> dict[str, float]:
+    """For each kind of key without a proximity score: the part of a name that may differ at most, in the best case for the rest.
+
+    The address is worth 100 points if the streets agree, 90 if only the cities can, 60 if neither does.
+    """
+    w, least = config.weights, config.review - 0.5 - EPSILON
+    best = {"street": 100, "city": 90, "zip": 60}
+    # Rounding can lift a similarity by half a point.
+    needed = {kind: (least - w["address"] * points - w["naics"] * 100) / w["name"] for kind, points in best.items()}
+    return {kind: (100.5 - need) / 100 for kind, need in needed.items()}
+
+
+def _sized(keyed: DataFrame, sizes: DataFrame) -> DataFrame:
+    return keyed.join(sizes, list(JOIN_KEYS), "left")
+
+
+def _by_names(left: DataFrame, right: DataFrame, losses: dict[str, float]) -> DataFrame:
+    """Pairs of large keys: the key's distinct names are joined on shared segments, and only rows of names that are alike meet."""
+    loss = F.lit(None).cast("double")
+    for kind, part in losses.items():
+        loss = F.when(F.col("kind") == kind, F.lit(part)).otherwise(loss)
+    names = segments.alike(left.withColumn("loss", loss), JOIN_KEYS, "a_name", "loss")
+    same = left.filter("a_name is not null").select(*JOIN_KEYS, F.col("a_name").alias("first"), F.col("a_name").alias("second")).distinct()
+    met = names.unionByName(same)
+    firsts = left.withColumn("first", F.col("a_name")).join(met, [*JOIN_KEYS, "first"])
+    return firsts.join(right.withColumn("second", F.col("b_name")), [*JOIN_KEYS, "second"]).drop("first", "second")
+
+
+def _on_grid(left: DataFrame, right: DataFrame, config: MatchConfig, tasks: int) -> DataFrame:
+    """Pairs by key; a key above ``max_block`` is cut into a grid: each side keeps one part and is copied along the other.
 
     Every pair still meets once. The parts grow with the square root of the key's
     size, so copies stay few while no task holds a whole large key.
     """
-    sizes = right.groupBy(*JOIN_KEYS).agg(F.count("*").alias("_size")).filter(F.col("_size") > config.max_block)
-    parts = F.ceil(F.sqrt(F.col("_size") / config.max_block))
-    sizes = sizes.withColumn("_grid", parts.cast("int")).drop("_size")
+    grid = F.coalesce(F.ceil(F.sqrt(F.col("_size") / config.max_block)).cast("int"), F.lit(1))
 
-    def placed(rows: DataFrame, own: str, copied: str, seed: int) -> DataFrame:
-        known = rows.join(sizes, list(JOIN_KEYS), "left").withColumn("_grid", F.coalesce("_grid", F.lit(1)))
-        part = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.col("_grid")).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.col("_grid") - 1))
-        return known.withColumn(own, part).withColumn(copied, copies).drop("_grid")
+    def placed(rows: DataFrame, id_col: str, own: str, copied: str, seed: int) -> DataFrame:
+        part = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), grid).cast("int")
+        return rows.withColumns({own: part, copied: F.explode(F.sequence(F.lit(0), grid - 1))})
 
-    return placed(left, "_row", "_col", 1), placed(right, "_col", "_row", 2)
+    keys = [*JOIN_KEYS, "_row", "_col"]
+    a, b = placed(left, "a_id", "_row", "_col", 1).drop("_size"), placed(right, "b_id", "_col", "_row", 2).drop("_size")
+    # Comparing costs far more than moving, so the task count must not follow the bytes moved.
+    return a.repartition(tasks, *keys).join(b.repartition(tasks, *keys), keys).drop("_row", "_col")
+
+
+def keyed_pairs(folds: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
+    """Pairs (kind, a_..., b_...) of folds that share a join key; of large keys only those whose names can be alike enough."""
+    a_columns = [F.col(c).alias(f"a_{c}") for c in ("id", "source", "n", *SCORED[2:])]
+    b_columns = [F.col(c).alias(f"b_{c}") for c in ("id", "source", "n", *SCORED[2:])]
+    left = _keyed(folds, config, "left").select(*JOIN_KEYS, "kind", *a_columns)
+    # Written once: it is counted by key and then joined.
+    right = cut_lineage(_keyed(folds, config, "right").select(*JOIN_KEYS, "kind", *b_columns), "keyed")
+    sizes = right.groupBy(*JOIN_KEYS).agg(F.count("*").alias("_size")).filter(F.col("_size") > config.max_block)
+    sizes = cut_lineage(sizes, "large-keys")
+    total = right.count()
+    tasks = max(int(folds.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS_PER_TASK))
+    losses = {kind: part for kind, part in name_losses(config).items() if 0 <= part < 0.5}
+    large = F.col("_size").isNotNull() & F.col("kind").isin(*losses)
+    if sizes.isEmpty():
+        none = F.lit(None).cast("bigint")
+        return _on_grid(left.withColumn("_size", none), right.drop("kind").withColumn("_size", none), config, tasks)
+    left, right = _sized(left, sizes), _sized(right, sizes)
+    grid = _on_grid(left.filter(~large), right.filter(~large).drop("kind"), config, tasks)
+    return grid.unionByName(_by_names(left.filter(large).drop("_size"), right.filter(large).drop("_size", "kind"), losses))
 
 
 # --- scoring ---------------------------------------------------------------------------------
@@ -227,17 +279,7 @@ def _split_large(left: DataFrame, right: DataFrame, config: MatchConfig) -> tupl
 
 def scored_pairs(folds: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     """Pairs of folds at or above the review score, registry matches left out."""
-    left, right = _split_large(_keyed(folds, config, "left"), _keyed(folds, config, "right"), config)
-    a_columns = [F.col(c).alias(f"a_{c}") for c in ("id", "source", "n", *SCORED[2:])]
-    b_columns = [F.col(c).alias(f"b_{c}") for c in ("id", "source", "n", *SCORED[2:])]
-    keys = [*JOIN_KEYS, "_row", "_col"]
-    # Comparing costs far more than moving, so the task count must not follow the bytes moved.
-    tasks = int(folds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = (
-        left.select(*keys, "kind", *a_columns)
-        .repartition(tasks, *keys)
-        .join(right.select(*keys, *b_columns).repartition(tasks, *keys), keys)
-    )
+    pairs = keyed_pairs(folds, config)
 
     def a(c: str) -> Column:
         return F.col(f"a_{c}")
