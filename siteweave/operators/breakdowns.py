@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -257,6 +259,46 @@ def city_sample(rows: DataFrame, companies: DataFrame, n: int = 20) -> DataFrame
     return top.join(F.broadcast(names.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"))), "company_id", "left")
 
 
+#: Rows of a place's page by panel; None shows all.
+PANELS = {"total": None, "codes": 15, "companies": 20, "sources": None, "cities": 15}
+
+
+def place_panels(
+    facilities: DataFrame, companies: DataFrame, by: Sequence[str] = ("state",), limits: dict[str, int | None] = PANELS
+) -> DataFrame:
+    """All panels of all places' pages from one scan: (*by, panel, rank, key, label, facilities, companies).
+
+    Each golden row says what it adds to which panel. Counts per company are taken first, before the shuffle too, so
+    that a place with a large part of all rows costs a row per task and entry, and distinct companies are a plain count.
+    """
+    null = F.lit(None).cast("string")
+
+    def entry(panel: str, key: Column, label: Column, company: Column) -> Column:
+        return F.struct(F.lit(panel).alias("panel"), key.alias("key"), label.alias("label"), company.alias("company"))
+
+    company = F.col("company_id")
+    source_list = F.from_json("sources", "array<string>") if dict(facilities.dtypes)["sources"] == "string" else F.col("sources")
+    own = {
+        "total": F.array(entry("total", null, null, company)),
+        "codes": F.array(entry("codes", F.col("primary_naics"), F.col("primary_naics_description"), null)),
+        "companies": F.array(entry("companies", company, null, null)),
+        "sources": F.transform(F.coalesce(source_list, F.array().cast("array<string>")), lambda s: entry("sources", s, null, null)),
+        "cities": F.array(entry("cities", F.col("city"), null, company)),
+    }
+    entries = F.flatten(F.array(*[own[panel] for panel in limits]))
+    rows = facilities.select(*by, F.explode(entries).alias("e")).select(*by, "e.*").filter("key is not null or panel = 'total'")
+    per_company = rows.groupBy(*by, "panel", "key", "label", "company").agg(F.count(F.lit(1)).alias("n"))
+    counts = per_company.groupBy(*by, "panel", "key", "label").agg(F.sum("n").alias("facilities"), F.count("company").alias("companies"))
+    names = companies.select(F.lit("companies").alias("panel"), F.col("id").alias("key"), "name")
+    named = counts.join(names, ["panel", "key"], "left").filter("panel <> 'companies' or name is not null")
+    order = Window.partitionBy(*by, "panel").orderBy(F.desc("facilities"), "key", F.col("label").asc_nulls_last())
+    ranked = named.withColumn("rank", F.row_number().over(order))
+    shown = F.lit(False)
+    for panel, limit in limits.items():
+        shown = shown | ((F.col("panel") == panel) & (F.lit(True) if limit is None else F.col("rank") <= limit))
+    return ranked.filter(shown).select(*by, "panel", "rank", "key", F.coalesce("name", "label").alias("label"), "facilities", "companies")
+
+
 # --- single rows, runs, exports --------------------------------------------------------------
 
 

@@ -268,7 +268,7 @@ def company_clean(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _slot_ctes(start: str) -> tuple[str, str, list[str]]:
+def slot_ctes(start: str) -> tuple[str, str, list[str]]:
     """Name extraction step by step: one CTE per stage, each candidate text in its own column.
 
     ``start`` selects an id, the name as ``f`` and the ``parent``.
@@ -332,13 +332,13 @@ s2 as (select *, {staged} from s1), s3 as (select *, {normal} from s2), s4 as (s
 
 
 def _slot_sql() -> str:
-    ctes, resolved, loose = _slot_ctes("select name_id, nullif(name, '') as f, parent from names")
+    ctes, resolved, loose = slot_ctes("select name_id, nullif(name, '') as f, parent from names")
     return f"""with {O.names_cte()}, {ctes}
 select name_id, {resolved} as resolved, coalesce({resolved}, {', '.join(loose)}) as aggressive, extracted from s4"""
 
 
 def _relink_sql() -> str:
-    ctes, resolved, _ = _slot_ctes("select id, nullif(name, '') as f, cast(null as varchar) as parent, company_id, company_name from equipment")
+    ctes, resolved, _ = slot_ctes("select id, nullif(name, '') as f, cast(null as varchar) as parent, company_id, company_name from equipment")
     named = f"case when company_id is null and company_name is null then {resolved} else company_name end"
     return f"""with {EQ}, {ctes}, n as (select {named} as company_name, company_id from s4)
 select company_name, count(*) as facilities, count(coalesce(company_id, company_name)) as linked from n group by 1"""
@@ -462,7 +462,7 @@ _TOP_PREFIX = """code_counts as (select company_id, left(primary_naics, 3) as pr
 top as (select * from (select *, row_number() over (partition by company_id order by n desc, prefix) as rn from code_counts) where rn = 1)"""
 
 
-def _equipment_names(s: SparkSession, d: str) -> DataFrame:
+def equipment_names(s: SparkSession, d: str) -> DataFrame:
     """Golden rows under the names that look like sites, companies or equipment."""
     rows = name_rows(s, d).select("name_id", "name")
     k = F.col("name_id")
@@ -486,6 +486,15 @@ _MODEL = " or ".join(O.matches("name", p) for p in K.MISATTRIBUTED_MODEL_PATTERN
 _OTHER = f"({O.matches('name', '^.+[[:space:]]*-[[:space:]]*.*CATERPILLAR')} and not {O.matches('name', '^CATERPILLAR')})"
 
 
+def unlinked_sql(rows: str, more: str = "") -> str:
+    """(id, more, company_name, company_id) of rows after misattributed ones are freed."""
+    brands = "^[A-Z].+ - .*(" + "|".join(K.MISATTRIBUTED_BRANDS) + ")"
+    return f"""select id, {more} case when not coalesce(hit, false) then company_name end as company_name,
+      case when not coalesce(hit, false) then company_id end as company_id from (
+        select *, ({O.matches('name', brands, '')} and company_name in {O.in_list(K.MISATTRIBUTED_COMPANIES)})
+          or (company_name = 'Caterpillar' and ({_MODEL} or {_NON_SITE})) or ({_NON_SITE} and company_id is not null) as hit from ({rows}))"""
+
+
 def scored_documents(s: SparkSession, d: str) -> DataFrame:
     text = F.col("text")
     return X.table(s, d, "documents").select(
@@ -702,16 +711,16 @@ QUERIES = {
         f"""select doc_id, {O.stub('text')} as stub, {O.matches('text', K.BROAD_EQUIPMENT_PATTERN)} as equipment,
         case {_CLASS} when length(text) < 10 then 'very_short' else 'other' end as class from documents"""),
     "unlinked_categories": (
-        lambda s, d: Q.unlinked_classes(_equipment_names(s, d)),
+        lambda s, d: Q.unlinked_classes(equipment_names(s, d)),
         f"""with {EQ} select case {_CLASS.replace('text', 'name')} when length(name) < 10 then 'very_short' else 'other' end as category,
         count(*) as facilities from equipment where company_id is null group by 1"""),
     "equipment_share": (
-        lambda s, d: Q.equipment_share(_equipment_names(s, d), minimum=3),
+        lambda s, d: Q.equipment_share(equipment_names(s, d), minimum=3),
         f"""with {EQ} select company_name, count(*) as total, count(*) filter (where {O.matches('name', K.EQUIPMENT_SHARE_PATTERN)}) as equipment_like,
         cast(floor(count(*) filter (where {O.matches('name', K.EQUIPMENT_SHARE_PATTERN)})::double / count(*) * 100 + 0.5) as bigint) as percent
         from equipment where company_name is not null group by 1 having equipment_like > 3 order by 3 desc, 1 limit 20"""),
     "equipment_counts": (
-        lambda s, d: Q.equipment_counts(_equipment_names(s, d)),
+        lambda s, d: Q.equipment_counts(equipment_names(s, d)),
         f"""with {EQ} select count(*) as total, count(*) filter (where {O.matches('name', K.PORTABLE_PATTERN)}) as portable,
         count(*) filter (where {O.matches('name', K.EQUIPMENT_WORDS_PATTERN)}) as equipment_words,
         count(*) filter (where {O.matches('name', K.BROAD_EQUIPMENT_PATTERN)}) as broad_equipment,
@@ -720,26 +729,23 @@ QUERIES = {
         count(*) filter (where {O.matches('name', '^[A-Z].+ - .*(' + '|'.join(K.CROSS_BRANDS) + ')', '')}) as cross_brand,
         count(*) filter (where {_NON_SITE} or {_UNIT_REG}) as unit_registrations from equipment"""),
     "raw_equipment_counts": (
-        lambda s, d: Q.raw_equipment_counts(_equipment_names(s, d), "name"),
+        lambda s, d: Q.raw_equipment_counts(equipment_names(s, d), "name"),
         f"""with {EQ} select count(*) filter (where {O.matches('name', K.PORTABLE_PATTERN)}) as portable,
         count(*) filter (where {O.matches('name', K.RAW_EQUIPMENT_PATTERN)}) as equipment_words from equipment"""),
     "equipment_by_company": (
-        lambda s, d: Q.equipment_by_company(_equipment_names(s, d), ("Caterpillar", "Co 0", "Co 3")),
+        lambda s, d: Q.equipment_by_company(equipment_names(s, d), ("Caterpillar", "Co 0", "Co 3")),
         f"""with {EQ}, e as (select company_name, {O.matches('name', K.MODEL_NUMBER_PATTERN)} or {_OTHER} or city in ('PORTABLE SOURCE', 'STATEWIDE') as q
         from equipment where company_name in ('Caterpillar', 'Co 0', 'Co 3')) select company_name, count(*) filter (where q) as equipment,
         count(*) filter (where not q) as sites, count(*) as total from e group by 1"""),
     "other_operator": (
-        lambda s, d: _equipment_names(s, d).filter(PR.is_other_operator(F.col("name"))).select("id", "name"),
+        lambda s, d: equipment_names(s, d).filter(PR.is_other_operator(F.col("name"))).select("id", "name"),
         f"with {EQ} select id, name from equipment where {_OTHER}"),
     "unlink_misattributed": (
-        lambda s, d: jobs.unlink_misattributed(_equipment_names(s, d)).select("id", "company_name", "company_id"),
-        f"""with {EQ}, u as (select *, ({O.matches('name', '^[A-Z].+ - .*(' + '|'.join(K.MISATTRIBUTED_BRANDS) + ')', '')}
-          and company_name in {O.in_list(K.MISATTRIBUTED_COMPANIES)}) or (company_name = 'Caterpillar' and ({_MODEL} or {_NON_SITE}))
-          or ({_NON_SITE} and company_id is not null) as hit from equipment)
-        select id, case when not coalesce(hit, false) then company_name end as company_name, case when not coalesce(hit, false) then company_id end as company_id from u"""),
+        lambda s, d: jobs.unlink_misattributed(equipment_names(s, d)).select("id", "company_name", "company_id"),
+        f"with {EQ} {unlinked_sql('select * from equipment')}"),
     # companies
     "relink_companies": (
-        lambda s, d: C.relink(_equipment_names(s, d), com(s, d), RULES)[0].groupBy("company_name").agg(
+        lambda s, d: C.relink(equipment_names(s, d), com(s, d), RULES)[0].groupBy("company_name").agg(
             F.count("*").alias("facilities"), F.count("company_id").alias("linked")), _relink_sql()),
     "company_upsert": (
         lambda s, d: C.upsert_companies(com(s, d).filter("name > 'Brand#2'"), fac(s, d)).select("name", "status", "facility_count"),

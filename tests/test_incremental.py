@@ -36,6 +36,25 @@ def test_lookups_read_the_buckets_of_their_keys(spark, tmp_path):
     assert one.all("k").count() == 100 and one.all("other").count() == 4
 
 
+def test_filters_keep_new_keys_from_reading(spark, tmp_path):
+    kept = shelf.Shelf(spark, str(tmp_path / "s"), VALUE, 8, filtered=True)
+    rows = lambda keys, kind="k": spark.createDataFrame([(kind, k, "v") for k in keys], "kind string, key string, value string")
+    keys = lambda names: spark.createDataFrame([(k,) for k in names], "key string")
+    assert kept.folders("k", keys(["a"]), 3) == []
+    for n in range(3):
+        kept.write(rows([f"{n}-{i}" for i in range(400)]), n)
+    kept.write(rows([], "k"), 3)
+    # Every stored key is found in its own folder, and hardly any other key in one.
+    for n in range(3):
+        mine = [f"{n}-{i}" for i in range(0, 400, 7)]
+        assert {b for b, _ in kept.folders("k", keys(mine), 9)} >= {n}
+        assert {r.key for r in kept.find("k", keys(mine), 9).collect()} == set(mine)
+        assert kept.find("k", keys(mine), n).isEmpty()
+    assert len(kept.folders("k", keys([f"new-{i}" for i in range(400)]), 9)) <= 2
+    assert kept.folders("other", keys(["0-1"]), 9) == [] and kept.find("k", keys(["new"]), 9).isEmpty()
+    assert shelf.compacted(kept, str(tmp_path / "c")).find("k", keys(["1-7", "x"]), 9).count() == 1
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_grow_in_any_order(spark, seed):
     draw = random.Random(seed)
