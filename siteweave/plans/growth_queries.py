@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave import constants as K
+from siteweave import fixtures as X
 from siteweave.operators import breakdowns as B
+from siteweave.operators import rules as R
 from siteweave.operators import search
 from siteweave.plans import jobs
 from siteweave.plans import oracle_text as O
@@ -64,6 +65,19 @@ def indexed_search(s: SparkSession, d: str) -> DataFrame:
     return found
 
 
+#: A rule list as long as the parts' names and brands are many, with one rule that has no letters.
+RULE_TABLE = """
+select 1000000 + min(p_partkey) as rule_no, upper(p_name) || '( -| INC|,| /| CO | LLC)' as pattern, 'Maker ' || p_name as company, false as exact_case
+from {part} group by p_name
+union all select min(p_partkey), upper(p_brand) || '( G[0-9]+| HOLD| )', 'Brand ' || p_brand, true from {part} group by p_brand
+union all select 5000000, '^[0-9]+ ', 'Numbered', false"""
+
+
+def rule_lookup(s: SparkSession, d: str) -> DataFrame:
+    """The first rule of a long list for each site name."""
+    return R.by_rules(X.derive(s, d, X.NAMES), X.derive(s, d, RULE_TABLE))
+
+
 def state_panels(s: SparkSession, d: str) -> DataFrame:
     """The pages of all listed states: totals, codes, companies, sources and cities."""
     rows = fac(s, d)
@@ -121,5 +135,10 @@ QUERIES = {
         r as (select *, row_number() over (partition by state, panel order by facilities desc, key nulls first, label nulls last) as rank from c)
         select state, panel, rank, key, label, facilities, companies from r
         where rank <= case panel when 'codes' then 15 when 'companies' then 20 when 'cities' then 15 else rank end"""),
+    "rule_lookup": (
+        rule_lookup,
+        f"""with {O.names_cte()}, rules as ({X.for_oracle(RULE_TABLE)}), own as (select distinct name from names where name is not null),
+        hit as (select name, rule_no, company from own join rules on regexp_matches(name, case when exact_case then pattern else '(?i)' || pattern end))
+        select name, min(rule_no) as rule_no, min_by(company, rule_no) as company from hit group by name"""),
     "repair_job": (repair_job, _repair_sql()),
 }

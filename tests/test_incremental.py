@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteweave.operators import components, linkage
+from siteweave.operators import components, golden, linkage
 from siteweave.plans.linkage_queries import linkable
 from siteweave.streaming import incremental, shelf
 
@@ -88,9 +88,9 @@ def feed(raw, folder, order):
         time.sleep(1.1)  # files are taken in the order of their times
 
 
-def run(spark, raw, tmp_path):
+def run(spark, raw, tmp_path, **options):
     stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    incremental.match_stream(stream, str(tmp_path / "state"), str(tmp_path / "progress"), buckets=4).awaitTermination()
+    incremental.match_stream(stream, str(tmp_path / "state"), str(tmp_path / "progress"), buckets=4, **options).awaitTermination()
     return lambda name: incremental.current_state(spark, str(tmp_path / "state"), name)
 
 
@@ -130,3 +130,18 @@ def test_cost_follows_the_batch(spark, tmp_path):
     counts = [r.counts for r in spark.read.parquet(str(tmp_path / "state/ledger")).orderBy("batch").collect()]
     assert counts[0]["records"] == 400 and counts[1]["records"] == 2
     assert counts[1]["compared_with"] == 10 and counts[1]["golden_met"] <= 4 and counts[1]["members"] <= 4
+
+
+def test_refreshed_fields_follow_from_the_records_alone(spark, tmp_path):
+    raw = linkable(spark, SF).filter("source <> 'osha' or id like '%1'").cache()
+    feed(raw, str(tmp_path / "in"), (1, 0))
+    state = run(spark, raw, tmp_path, refresh=True)
+    owner = state("lineage").select(F.col("raw_record_id").alias("id"), "facility_id")
+    whole = golden.golden_rows(raw.join(owner, "id"), "facility_id")
+    fields = ["name", "company_name", "address", "city", "state", "zip", "latitude", "longitude", "primary_naics", "epa_registry_id",
+              "parent_company_from_tri", "source_count", "sources", "confidence"]
+    want = {r["unit"]: tuple(r[c] for c in fields) for r in whole.collect()}
+    got = {r["id"]: tuple(r[c] for c in fields) for r in state("facilities").collect()}
+    assert got == want
+    ids = {r.name: r.id for r in state("companies").collect()}
+    assert all(r.company_id == ids.get(r.company_name) for r in state("facilities").collect())
