@@ -4,7 +4,6 @@ import random
 
 import brute
 import pytest
-from pyspark.sql import functions as F
 
 from siteweave.functions.scoring import MatchConfig
 from siteweave.operators import linkage, segments
