@@ -148,3 +148,40 @@ def test_components_equal_union_find(spark):
     edges = chain + star + [e for e in loose if e[0] != e[1]]
     got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(edges + [("z", "z")], "src string, dst string")).collect()}
     assert got == brute.components(edges)
+
+
+def test_rows_of_one_source_do_not_meet(spark):
+    """A large key of one source costs no pairs, and few with one row of another source."""
+    base = dict(raw_city="AUSTIN", raw_state="TX", raw_zip="77001", raw_latitude=None, raw_longitude=None, raw_naics_code="332710", registry_id=None)
+    rows = [{"id": f"a{i:03d}", "source": "manual" if i == 7 else "osha", "raw_name": f"WORKS {i}", "raw_address": f"{i} OAK ROAD", **base} for i in range(200)]
+    rows = [{c.split()[0]: r[c.split()[0]] for c in SCHEMA.split(", ")} for r in rows]
+    folds = linkage.fold_by_fields(linkage.prepared(frame(spark, rows)))
+    met = linkage.keyed_pairs(folds)
+    assert met.filter("a_source = b_source").isEmpty()
+    assert met.count() <= 3 * 199
+    assert {tuple(sorted(k)): v for k, v in scored(spark, rows).items()} == brute.pairs(rows)
+
+
+def test_more_sources_than_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "NUMBERED_SOURCES", 2)
+    rows = records(120, 13)
+    assert {tuple(sorted(k)): v for k, v in scored(spark, rows).items()} == brute.pairs(rows)
+
+
+def test_marks_never_exceed_edits(spark):
+    """Half of the marks that differ bound the edits from below, whatever the letters are."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("AABC1 É😀-") for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    rows = linkage._marked(spark.createDataFrame([(t,) for t in texts], "name string")).collect()
+    for x in rows:
+        for y in rows:
+            changed = sum(bin((x[m] ^ y[m]) & (2**64 - 1)).count("1") for m in ("marks_1", "marks_2"))
+            assert changed <= 2 * brute.edit_distance(x["name"], y["name"])
+
+
+def test_many_parts_are_not_sent_through_the_driver(spark, monkeypatch):
+    from siteweave import fixtures
+
+    monkeypatch.setattr(fixtures, "SENT_PARTS", 10)
+    plan = fixtures.derive(spark, "/root/testdata/sf0.001", fixtures.RAW_RECORDS)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
