@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteweave.llm import bpe, leaks, lines, quality, similar
+from siteweave.llm import bpe, leaks, lines, quality, similar, simhash
 from siteweave.llm.common import hinted, table
+from siteweave.operators.components import connected_components
 from siteweave.session import cut_lineage
 
 #: Keys that may be sent to all tasks (about 30 MB); more are joined by shuffling.
@@ -34,19 +35,24 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each near-duplicate group; null ids come first.
 
-    A document is known by its id and its text's hash; of rows equal in both, one stays.
+    Two documents are linked if their SimHash fingerprints differ in at most three bits, or if the exact join of five-word shingles, which
+    follows, finds them alike. Groups are what both kinds of links connect. A document is known by its id and its text's hash; of rows equal in both, one stays.
     Texts are not shuffled to decide: only keys are, and the few that go are
     then taken out of the documents. Rows are kept whole in one column, so that
     other columns pass through whatever their names are.
     """
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     keyed = rows.select("row", F.struct("row.doc_id", F.xxhash64("row.text").alias("hash")).alias("key"), F.xxhash64("row").alias("mark"))
-    groups = similar.near_duplicates(keyed.select("key", "row.text"), id_col="key").select("key", "component_id").distinct()
+    texts = keyed.select("key", "row.text")
+    hashed = simhash.near_duplicates(texts, id_col="key").select("key", "component_id")
+    exact = similar.near_duplicates(texts, id_col="key").select("key", "component_id")
+    links = hashed.unionByName(exact).filter("key <> component_id").select(F.col("key").alias("src"), F.col("component_id").alias("dst"))
+    groups = connected_components(links).select(F.col("id").alias("key"), F.col("component").alias("component_id"))
     counted = keyed.groupBy("key").agg(F.min("mark").alias("least"), F.count(F.lit(1)).alias("n"))
-    stays = F.col("key") == F.col("component_id")
+    stays = F.col("key") == F.coalesce("component_id", "key")
     # Keys that are not simply kept: those of other group members, and those with several rows, of which the first returns.
     special = cut_lineage(
-        counted.join(groups, "key").filter(~(stays & (F.col("n") == 1))).select("key", F.when(stays, F.col("least")).alias("least")), "near-duplicates"
+        counted.join(groups, "key", "left").filter(~(stays & (F.col("n") == 1))).select("key", F.when(stays, F.col("least")).alias("least")), "near-duplicates"
     )
     simple = keyed.join(hinted(special.select("key"), SENT_KEYS), "key", "left_anti")
     again = keyed.join(hinted(special.filter("least is not null"), SENT_KEYS), "key").filter(F.col("mark") == F.col("least"))

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from siteweave.llm import leaks
+from siteweave.llm import leaks, simhash
 
 from .test_lines import plain as plain_lines
 from .test_leaks import plain as plain_leaks
@@ -62,6 +62,19 @@ def test_near_stage_keeps_one_of_each_group(spark, frame):
         assert len(own) == 1 and own[0][0] == members[0][0]
 
 
+def test_near_stage_links_by_simhash(spark, frame):
+    """Long texts whose fingerprints are three bits apart at most go together, though their shingles are not alike enough for the exact join."""
+    draw = random.Random(4)
+    common, rows = sentence(draw, 3), []
+    for i in range(2):
+        # Most shingles repeat, so they decide the bits; the set of different shingles holds little in common.
+        rows.append((i, " ".join([common] * 200 + [sentence(draw, 40)]), "en", "s", 1))
+    rows.append((2, sentence(draw, 60), "en", "s", 1))
+    assert bin(simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).count("1") <= 3
+    assert len(set(plain_groups([r[1] for r in rows]))) == 3
+    assert {r["doc_id"] for r in stage("near_dedup")(spark, frame(rows, SCHEMA), "").collect()} == {0, 2}
+
+
 def test_leak_stage(spark, frame):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
