@@ -1,6 +1,9 @@
 """Worked examples per function."""
 
+import random
+
 import pytest
+
 from pyspark.sql import functions as F
 
 from siteweave.functions import company as C
@@ -149,3 +152,26 @@ def test_confidence(spark):
     rows = spark.createDataFrame([(1, 1, False, 30), (2, 2, True, 80), (3, 3, True, 100), (5, 1, False, 50)], "r int, s int, c boolean, want int")
     got = rows.withColumn("got", CF.merge_confidence(F.col("r"), F.col("s"), F.col("c"))).collect()
     assert all(r.want == r.got for r in got)
+
+
+def test_address_in_parts_equals_the_rules_one_by_one(spark):
+    """Words are asked once whether they hold a direction or can be a street type; the answers are those of all rules over the whole text."""
+    from siteweave import constants as K
+
+    def plain(c):
+        text = F.regexp_replace(T.strip(F.upper(c)), K.UNIT_PATTERN, "")
+        for short, full in K.DIRECTIONALS:
+            text = F.regexp_replace(text, rf"\b{short}\b", full)
+        types = T.text_map(K.STREET_TYPES)
+        words = F.transform(F.split(text, f"{OLD_SPACE}+"), lambda w: F.coalesce(F.try_element_at(types, F.regexp_replace(w, "[.,]$", "")), w))
+        return T.blank_to_null(T.strip(F.regexp_replace(F.array_join(words, " "), f"{OLD_SPACE}+", " ")))
+
+    OLD_SPACE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+    draw = random.Random(6)
+    parts = ["N", "n.", "NW", "S-E", "W,", "ST", "ST.", "ST..", "Ave,", "BLVD", "É", "ÉN", "N_E", "#5", "STE 4", "FL.2", "unit\t7", "12", ".", "MAIN", "PKWY.", "x😀"]
+    gaps = [" ", "  ", "\t", "\u00a0", "\u2003 ", "\u3000", "\n", "", "\x85"]
+    texts = ["".join(draw.choice(parts) + draw.choice(gaps) for _ in range(draw.randint(1, 7))) for _ in range(600)] + ["", " ", None]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.normalize_address(F.col("t")).alias("now"), plain(F.col("t")).alias("want"))
+    assert found.filter(~F.col("now").eqNullSafe(F.col("want"))).collect() == []
+    spaces = spark.range(0x10000).filter("id < 55296 or id > 57343").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    assert spaces.filter(F.col("c").rlike(T.SPACE) != F.col("c").rlike(OLD_SPACE)).isEmpty()
