@@ -26,7 +26,7 @@ from siteweave.plans import jobs
 from siteweave.plans import oracle_text as O
 from siteweave.plans.analytic_queries import COM, FAC, LIN, RAW, REVIEW, com, fac, lin, raw, review_candidates
 from siteweave.plans.linkage_queries import FIELDS_SQL, RULES
-from siteweave.session import shared_folder
+from siteweave.session import shared_folder, spread
 from siteweave.sources import curated as SC
 from siteweave.sources import federal as SF
 from siteweave.sources.common import read_csv
@@ -197,7 +197,8 @@ def many_rules(s: SparkSession, d: str):
 
 
 def company_rules_many(s: SparkSession, d: str) -> DataFrame:
-    names = X.table(s, d, "part").select("p_partkey", F.concat(F.upper("p_name"), F.lit(" "), F.upper("p_brand"), F.lit(" WORKS")).alias("name"))
+    parts = X.table(s, d, "part")
+    names = spread(parts, parts.count()).select("p_partkey", F.concat(F.upper("p_name"), F.lit(" "), F.upper("p_brand"), F.lit(" WORKS")).alias("name"))
     names = names.withColumn("name", F.when(F.col("p_partkey") % 3 == 0, F.split("name", " ")[0]).when(F.col("p_partkey") % 3 == 1, F.expr("'X ' || substring_index(name, ' ', -2)")).otherwise(F.col("name")))
     return names.select("p_partkey", normalize_company(F.col("name"), many_rules(s, d)).alias("company"))
 
@@ -250,7 +251,8 @@ def tickers(s: SparkSession, d: str) -> DataFrame:
 
 
 def name_rows(s: SparkSession, d: str) -> DataFrame:
-    return X.derive(s, d, X.NAMES)
+    # A small file of many names is read in few tasks; reading names costs far more than their bytes tell.
+    return spread(X.derive(s, d, X.NAMES), X.table(s, d, "part").count())
 
 
 def resolved_names(s: SparkSession, d: str) -> DataFrame:
