@@ -22,6 +22,10 @@ from siteweave.streaming.shelf import BUCKETS, Shelf
 POSTINGS = T.StructType([T.StructField("value", T.StringType())])
 #: Trigrams of a term whose postings are read: the rarest ones.
 READ = 3
+#: Texts whose postings one task makes.
+TEXTS_PER_TASK = 20_000
+#: Postings that one task of a search meets.
+POSTINGS_PER_TASK = 200_000
 
 
 def literals(text: str) -> list[str]:
@@ -67,8 +71,11 @@ class TextIndex:
     def add(self, rows: DataFrame, columns: Sequence[str], batch: int, key: str = "id") -> None:
         """Stores the postings of new or changed rows as a layer of their own."""
         layer = None
+        # Dealt by number: a small file of many texts would be exploded in few tasks, whose tables of postings grow with the file.
+        texts = rows.select(F.col(key).cast("string").alias("_id"), *columns)
+        texts = texts.repartition(max(1, -(-rows.count() // TEXTS_PER_TASK)))
         for c in columns:
-            own = rows.select(F.lit(c).alias("kind"), F.explode(trigrams(F.col(c))).alias("key"), F.col(key).cast("string").alias("value")).distinct()
+            own = texts.select(F.lit(c).alias("kind"), F.explode(trigrams(F.col(c))).alias("key"), F.col("_id").alias("value")).distinct()
             counts = own.groupBy("key").agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit(f"{c}#").alias("kind"), "key", "value")
             both = own.unionByName(counts)
             layer = both if layer is None else layer.unionByName(both)
@@ -79,15 +86,15 @@ class TextIndex:
         wanted = term_trigrams(text)
         if not wanted:
             return None
-        terms = self.spark.createDataFrame([(t,) for t in wanted], "key string")
         found = None
         for c in columns:
-            counted = self.shelf.find(f"{c}#", terms, batch).groupBy("key").agg(F.sum(F.col("value").cast("bigint")).alias("n"))
+            counted = self.shelf.under(f"{c}#", wanted, batch).groupBy("key").agg(F.sum(F.col("value").cast("bigint")).alias("n"))
             sizes = {r["key"]: r["n"] for r in counted.collect()}
             if len(sizes) < len(wanted):
                 continue  # no row holds one of them
             rarest = sorted(wanted, key=lambda t: (sizes[t], t))[:READ]
-            held = self.shelf.find(c, self.spark.createDataFrame([(t,) for t in rarest], "key string"), batch)
+            tasks = -(-sum(sizes[t] for t in rarest) // POSTINGS_PER_TASK)
+            held = self.shelf.under(c, rarest, batch).repartition(tasks, "value")
             ids = held.groupBy("value").agg(F.countDistinct("key").alias("n")).filter(F.col("n") == len(rarest)).select(F.col("value").alias("id"))
             found = ids if found is None else found.unionByName(ids)
         return self.spark.createDataFrame([], "id string") if found is None else found.distinct()
