@@ -185,3 +185,46 @@ def test_many_parts_are_not_sent_through_the_driver(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "SENT_PARTS", 10)
     plan = fixtures.derive(spark, "/root/testdata/sf0.001", fixtures.RAW_RECORDS)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_postal_keys_of_one_city_hold_no_pairs(spark):
+    """Their pairs are found under the city; keys of several cities, or of missing ones, keep all rows."""
+    base = dict(raw_name="ACME", raw_state="TX", raw_latitude=None, raw_longitude=None, raw_naics_code="332710", registry_id=None)
+    rows = []
+    for i, (postal, city) in enumerate([("77001", "AUSTIN")] * 6 + [("77002", "AUSTIN")] * 3 + [("77002", "WACO")] * 2 + [("77003", None)] * 4):
+        rows.append({"id": f"r{i:02d}", "source": "osha" if i % 2 else "manual", "raw_address": f"{i} OAK ROAD", "raw_zip": postal, "raw_city": city, **base})
+    rows = [{c.split()[0]: r[c.split()[0]] for c in SCHEMA.split(", ")} for r in rows]
+    folds = linkage.fold_by_fields(linkage.prepared(frame(spark, rows)))
+    met = {r.a_zip5 for r in linkage.keyed_pairs(folds).filter("kind = 'zip'").select("a_zip5").distinct().collect()}
+    assert met == {"77002", "77003"}
+    assert {tuple(sorted(k)): v for k, v in scored(spark, rows).items()} == brute.pairs(rows)
+
+
+def test_numbers_tell_most_pairs_apart_and_lose_none(spark):
+    """The bounds keep every pair that reaches the score, and ask for the distances of few others."""
+    config = MatchConfig()
+    least = config.review - 0.5 - linkage.EPSILON
+    rows = records(220, 17, hot=True)
+    folds = linkage.fold_by_fields(linkage.prepared(frame(spark, rows), config))
+    pairs = linkage.keyed_pairs(folds, config)
+    ends = lambda r: tuple(sorted((r.a_id, r.b_id)))
+    kept = {ends(r) for r in pairs.filter(linkage._within_reach(config, least)).select("a_id", "b_id").collect()}
+    want = {tuple(sorted((r.record_a, r.record_b))) for r in linkage.scored_pairs(folds, config).select("record_a", "record_b").collect()}
+    assert want <= kept and len(kept) < 0.5 * pairs.count()
+    assert {tuple(sorted(k)): v for k, v in scored(spark, rows).items()} == brute.pairs(rows)
+
+
+def test_the_pairs_method_can_be_compiled(spark, capsys):
+    """The JVM leaves methods above 8,000 bytes uncompiled, which makes pairs many times as dear."""
+    import re
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        linkage.scored_pairs(linkage.fold_by_fields(linkage.prepared(frame(spark, records(60, 19))))).explain("codegen")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 6000
