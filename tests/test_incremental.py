@@ -145,3 +145,14 @@ def test_refreshed_fields_follow_from_the_records_alone(spark, tmp_path):
     assert got == want
     ids = {r.name: r.id for r in state("companies").collect()}
     assert all(r.company_id == ids.get(r.company_name) for r in state("facilities").collect())
+
+
+def test_lookups_list_the_folders_of_one_kind(spark, tmp_path):
+    kept = shelf.Shelf(spark, str(tmp_path / "s"), VALUE, 4)
+    for n in range(3):
+        kinds = ("k", "other") if n < 2 else ("other",)
+        kept.write(spark.createDataFrame([(kind, f"key{i}", f"{n}") for kind in kinds for i in range(20)], "kind string, key string, value string"), n)
+    names = lambda batch, kind: ["/".join(path.split("/")[-2:]) for path in kept.layers(batch, kind)]
+    assert names(9, "k") == ["batch=0/kind=k", "batch=1/kind=k"] and names(1, "k") == ["batch=0/kind=k"] and names(9, "none") == []
+    assert all("/kind=k/" in path for path in kept.before(9, "k").inputFiles())
+    assert kept.all("k").count() == 40 and kept.all("none").count() == 0 and kept.before(2).count() == 80
