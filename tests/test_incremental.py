@@ -155,4 +155,6 @@ def test_lookups_list_the_folders_of_one_kind(spark, tmp_path):
     names = lambda batch, kind: ["/".join(path.split("/")[-2:]) for path in kept.layers(batch, kind)]
     assert names(9, "k") == ["batch=0/kind=k", "batch=1/kind=k"] and names(1, "k") == ["batch=0/kind=k"] and names(9, "none") == []
     assert all("/kind=k/" in path for path in kept.before(9, "k").inputFiles())
+    kept.write(spark.createDataFrame([("a:b#", "x", "y")], "kind string, key string, value string"), 3)
+    assert kept.all("a:b#").count() == 1 and kept.all("a:b").count() == 0
     assert kept.all("k").count() == 40 and kept.all("none").count() == 0 and kept.before(2).count() == 80
